@@ -17,6 +17,13 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_spans(spark, path)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    found = quality_rules(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -32,10 +39,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_token_ids": op4_token_ids,
+        "op5_quality_rules": op5_quality_rules,
         "op6_token_counts": op6_token_counts,
         "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import quality_rules
+
+    return {"op5_quality_rules": quality_rules.SQL}
