@@ -30,6 +30,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), bpe.default_path(), limit=1024)
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filters import page_outcomes, url_filter
+
+    judged = url_filter(table(spark, sf_dir, "pages"), page_outcomes(table(spark, sf_dir, "labels")))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -41,11 +48,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_ids": op4_token_ids,
         "op5_quality_rules": op5_quality_rules,
         "op6_token_counts": op6_token_counts,
+        "op8_url_filters": op8_url_filters,
         "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import quality_rules
+    from . import quality_rules, url_filters
 
-    return {"op5_quality_rules": quality_rules.SQL}
+    return {"op5_quality_rules": quality_rules.SQL, "op8_url_filters": url_filters.SQL}
