@@ -10,6 +10,12 @@ from . import bpe
 from .common import new_path, table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import token_spans, write_token_ids
 
@@ -51,6 +57,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op4_token_ids": op4_token_ids,
         "op5_quality_rules": op5_quality_rules,
         "op6_token_counts": op6_token_counts,
@@ -61,6 +68,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import quality_rules, url_filters
+    from . import decontam, quality_rules, url_filters
 
-    return {"op5_quality_rules": quality_rules.SQL, "op8_url_filters": url_filters.SQL}
+    return {"op1_decontamination": decontam.SQL, "op5_quality_rules": quality_rules.SQL, "op8_url_filters": url_filters.SQL}
