@@ -16,6 +16,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"), folds=5)
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import token_spans, write_token_ids
 
@@ -58,6 +64,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_language_id": op2_language_id,
         "op4_token_ids": op4_token_ids,
         "op5_quality_rules": op5_quality_rules,
         "op6_token_counts": op6_token_counts,
