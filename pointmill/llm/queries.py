@@ -22,6 +22,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), folds=5)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import TARGETS, labelled_domains, mixing_rates
+
+    docs = table(spark, sf_dir, "documents")
+    found = mixing_rates(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), TARGETS)
+    return found.select("doc_id", "n_tokens", "domain", "rate")
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import token_spans, write_token_ids
 
@@ -42,6 +50,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), bpe.default_path(), limit=1024)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import graded, quality_scores
+
+    found = quality_scores(table(spark, sf_dir, "documents"), graded(table(spark, sf_dir, "labels")), n_grades=3, keep_grade=2)
+    return found.select("doc_id", "expected_grade", "p_keep", "kept")
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filters import page_outcomes, url_filter
 
@@ -65,9 +80,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_language_id": op2_language_id,
+        "op3_mixing": op3_mixing,
         "op4_token_ids": op4_token_ids,
         "op5_quality_rules": op5_quality_rules,
         "op6_token_counts": op6_token_counts,
+        "op7_quality_classifier": op7_quality_classifier,
         "op8_url_filters": op8_url_filters,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_simhash": op10_simhash,
