@@ -9,6 +9,7 @@ a letter is a token of its own too, which saves pieces that differ in punctuatio
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -18,6 +19,8 @@ import numpy as np
 
 #: Pieces remembered per Python worker (about 120 MB); beyond it the memory starts anew.
 MAX_PIECES = 400_000
+#: Bytes of text encoded together.
+TEXT_ROOM = 2_000_000
 #: A space inside a run of white space that is not the run's last character.
 _INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
 #: White space but for the space and the line end, as any library may know it.
@@ -71,23 +74,27 @@ class PieceEncoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """``known`` has what follows a space, keyed without it; ``lines`` the first word of a line, with the line end before it."""
-        known, plain, lines, rest = self.known, {}, {}, []
-        joined = []
+        known, plain, lines, rest, joined = self.known, {}, {}, [], []
         for p in pieces:
-            if "<" in p or not p or _OTHER_SPACE.search(p):
-                rest.append(p)
+            if p.isalpha():
+                plain[p] = p
+                continue
+            stem = p.rstrip(_TAIL)
+            if stem.isalpha() and "<" not in p:
+                if stem not in known:
+                    plain[stem] = stem
+                joined.append((p, [(known, stem, p[len(stem) :])]))
                 continue
             first, *more = p.split("\n")
-            if not first or not all(more):
+            if "<" in p or not first or not all(more) or _OTHER_SPACE.search(p):
                 rest.append(p)
                 continue
-            parts = [(first, plain)] + [(m, lines) for m in more]
             made = []
-            for word, group in parts:
+            for k, word in enumerate((first, *more)):
                 stem = word.rstrip(_TAIL)
                 if not stem or not stem[-1].isalpha():
                     stem = word
-                memory = known if group is plain else self.lines
+                memory, group = (self.lines, lines) if k else (known, plain)
                 if stem not in memory:
                     group[stem] = stem
                 made.append((memory, stem, word[len(stem) :]))
@@ -104,26 +111,64 @@ class PieceEncoder:
             known[p] = b"".join([m[k] + self.tails[t] if t else m[k] for m, k, t in made])
         known.update(zip(rest, self._library([" " + p for p in rest])))
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if not self.splits or text[0] == " " or _INNER_SPACE.search(text):
-            return self._library([text])[0]
-        first, *rest = text.split(" ")
-        known = self.known
-        try:
-            tail = b"".join([known[p] for p in rest])
-        except KeyError:
-            missing = {p for p in rest if p not in known}
-            if len(known) + len(self.lines) + len(missing) > self.max_pieces:
-                known.clear()
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """For each text, its ids as little-endian unsigned 32-bit integers. What is new is learnt once for all of them."""
+        out: list[bytes] = [b""] * len(texts)
+        whole, cut, firsts, flat = [], [], [], []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.splits or text[0] == " " or _INNER_SPACE.search(text):
+                whole.append(i)
+                continue
+            pieces = text.split(" ")
+            firsts.append(pieces[0])
+            del pieces[0]
+            cut.append((i, len(pieces)))
+            flat += pieces
+        for i, ids in zip(whole, self._library([texts[i] for i in whole])):
+            out[i] = ids
+        values = list(map(self.known.get, flat))
+        if None in values:
+            # the many small objects made here are no garbage; looking for cycles among them takes most of the time
+            collects = gc.isenabled()
+            gc.disable()
+            missing = {p for p, v in zip(flat, values) if v is None}
+            if len(self.known) + len(self.lines) + len(missing) > self.max_pieces:
+                self.known.clear()
                 self.lines.clear()
                 self.tails.clear()
-                missing = set(rest)
+                missing = set(flat)
             self._learn(list(missing))
-            tail = b"".join([known[p] for p in rest])
-        return self._library([first])[0] + tail
+            if collects:
+                gc.enable()
+            values = list(map(self.known.__getitem__, flat))
+        at = 0
+        for (i, n), first in zip(cut, self._library(firsts)):
+            out[i] = first + b"".join(values[at : at + n])
+            at += n
+        return out
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_many([text])[0]
+
+
+def slices(sizes: list[int], room: int) -> list[tuple[int, int]]:
+    """Runs of consecutive rows of about ``room`` in size, one row at least."""
+    out, start, total = [], 0, 0
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= room:
+            out.append((start, i + 1))
+            start, total = i + 1, 0
+    return [*out, (start, len(sizes))] if start < len(sizes) else out
+
+
+def text_sizes(column) -> list[int]:
+    """Bytes of each text of an Arrow column."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
 
 
 def load(path: str) -> str:

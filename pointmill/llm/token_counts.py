@@ -34,7 +34,9 @@ def _encoder(tokenizer_json: str, version: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.shared_encoder(tokenizer_json)
         for batch in batches:
-            counts = [len(encoder.encode(t)) // 4 for t in batch.column("content").to_pylist()]
+            counts = []
+            for a, b in bpe.slices(bpe.text_sizes(batch.column("content")), bpe.TEXT_ROOM):
+                counts += [len(x) // 4 for x in encoder.encode_many(batch.column("content").slice(a, b - a).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(counts), pa.string()), batch.column("digest").cast(pa.binary()), pa.array(counts, pa.int64())], ["tokenizer", "digest", "n_tokens"])
 
     return encode

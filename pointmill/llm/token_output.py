@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from . import bpe
 
 SCHEMA = "part int, doc_id long, at long, ids array<int>"
-BATCH_IDS = 2_000_000
 
 
 def _writer(tokenizer_json: str, end_id: int):
@@ -33,23 +32,15 @@ def _writer(tokenizer_json: str, end_id: int):
         encoder = bpe.shared_encoder(tokenizer_json)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            n = batch.num_rows
             texts, ids = batch.column("text"), batch.column("doc_id").cast(pa.int64())
-            row = 0
-            while row < n:
-                first, buffers, sizes = row, [], []
-                room = BATCH_IDS
-                while row < n and room > 0:
-                    x = encoder.encode(texts[row].as_py()) + end
-                    buffers.append(x)
-                    sizes.append(len(x) // 4)
-                    room -= len(x) // 4
-                    row += 1
+            for a, b in bpe.slices(bpe.text_sizes(texts), bpe.TEXT_ROOM):
+                buffers = [x + end for x in encoder.encode_many(texts.slice(a, b - a).to_pylist())]
+                sizes = [len(x) // 4 for x in buffers]
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 total = int(offsets[-1])
                 values = pa.Array.from_buffers(pa.int32(), total, [None, pa.py_buffer(b"".join(buffers))])
                 lists = pa.ListArray.from_arrays(pa.array(offsets), values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part, np.int32)), ids.slice(first, len(sizes)), pa.array(offsets[:-1].astype(np.int64) + at), lists], ["part", "doc_id", "at", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part, np.int32)), ids.slice(a, b - a), pa.array(offsets[:-1].astype(np.int64) + at), lists], ["part", "doc_id", "at", "ids"])
                 at += total
 
     return write
