@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pointmill.plans import nodes, points, reports  # noqa: F401  (they register)
+from pointmill.plans.registry import ORACLES, QUERIES  # noqa: F401
