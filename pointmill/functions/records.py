@@ -16,8 +16,9 @@ def round_half_away(v: Column) -> Column:
 
 
 def quantize(v: Column, scale: Column, offset: Column) -> Column:
-    steps = round_half_away((v - offset) / scale)
-    return F.least(F.greatest(steps, F.lit(float(I32_MIN))), F.lit(float(I32_MAX))).cast("int")
+    """Clamped before it is rounded, as whole numbers beyond 64 bits are an error."""
+    steps = F.least(F.greatest((v - offset) / scale, F.lit(float(I32_MIN))), F.lit(float(I32_MAX)))
+    return round_half_away(steps).cast("int")
 
 
 def dequantize(q: Column, scale: Column, offset: Column) -> Column:
