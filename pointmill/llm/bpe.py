@@ -17,8 +17,9 @@ import re
 
 import numpy as np
 
-#: Pieces remembered per Python worker (about 120 MB); beyond it the memory starts anew.
-MAX_PIECES = 400_000
+#: Pieces in each of two generations that a Python worker remembers (about 80 MB each). A full one becomes the older
+#: one, of which what is met again moves on to the new one.
+MAX_PIECES = 300_000
 #: Bytes of text encoded together.
 TEXT_ROOM = 2_000_000
 #: A space inside a run of white space that is not the run's last character.
@@ -49,6 +50,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.max_pieces = max_pieces
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.lines: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         described = json.loads(tokenizer_json)
@@ -129,20 +131,25 @@ class PieceEncoder:
         for i, ids in zip(whole, self._library([texts[i] for i in whole])):
             out[i] = ids
         values = list(map(self.known.get, flat))
-        if None in values:
+        new = [i for i, v in enumerate(values) if v is None] if None in values else []
+        if new:
             # the many small objects made here are no garbage; looking for cycles among them takes most of the time
             collects = gc.isenabled()
             gc.disable()
-            missing = {p for p, v in zip(flat, values) if v is None}
-            if len(self.known) + len(self.lines) + len(missing) > self.max_pieces:
-                self.known.clear()
+            missing = {flat[i] for i in new}
+            if len(self.known) + len(missing) > self.max_pieces:
+                self.older, self.known = self.known, {}
                 self.lines.clear()
                 self.tails.clear()
-                missing = set(flat)
-            self._learn(list(missing))
+            older = self.older
+            again = [p for p in missing if p in older]
+            self.known.update((p, older[p]) for p in again)
+            self._learn(list(missing.difference(again)))
             if collects:
                 gc.enable()
-            values = list(map(self.known.__getitem__, flat))
+            known = self.known
+            for i in new:
+                values[i] = known[flat[i]]
         at = 0
         for (i, n), first in zip(cut, self._library(firsts)):
             out[i] = first + b"".join(values[at : at + n])

@@ -140,7 +140,7 @@ class LanguageModel:
     temperature: float
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 1e-3, passes: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 1e-3, passes: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """FTRL-proximal per coordinate and class over (places, values, class); the last coordinate is the bias."""
     bias = 1 << BITS
     z, n = np.zeros((bias + 1, classes), np.float32), np.zeros((bias + 1, classes), np.float32)
@@ -193,10 +193,14 @@ def fit(training: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0, np.float32), 1.0)
     idf = inverse_frequencies(training)
     made = [(places, counts / counts.sum() * idf[places], langs.index(lang)) for _, lang, places, counts in rows]
+    # one scale for all documents, by which their mean length is 1
+    scale = np.float32(1 / np.mean([np.linalg.norm(v) for _, v, _ in made]))
+    made = [(places, values * scale, y) for places, values, y in made]
     held = [k for k in range(len(made)) if k % 5 == 4]
-    w, bias = ftrl([made[k] for k in range(len(made)) if k % 5 != 4], len(langs))
+    # small samples are passed over more often
+    w, bias = ftrl([made[k] for k in range(len(made)) if k % 5 != 4], len(langs), passes=min(30, max(3, 8_000 // len(made))))
     logits = np.array([made[k][1] @ w[made[k][0]] + bias for k in held]).reshape(len(held), len(langs))
-    return LanguageModel(langs, (w * idf[:, None]).astype(np.float32), bias, fit_temperature(logits, np.array([made[k][2] for k in held], np.int64)))
+    return LanguageModel(langs, (w * (scale * idf)[:, None]).astype(np.float32), bias, fit_temperature(logits, np.array([made[k][2] for k in held], np.int64)))
 
 
 # ---- prediction -------------------------------------------------------------------------------------------------

@@ -1,8 +1,8 @@
 """Token ids as ORC: run-length encoded integers in stripes, with row indexes and Bloom filters on document ids.
 
 Documents are dealt into ranges of ascending id; each range becomes one file, encoded while it is written. A file
-holds (part, doc_id, at, ids): ``part`` is the file's place in the order, ``at`` the tokens before the document in
-its file. A reader may take any stripe alone; a search by doc_id skips stripes and row groups by their minimum and
+holds (part, doc_id, at, n_tokens, ids): ``part`` is the file's place in the order, ``at`` the tokens before the
+document in its file. A reader may take any stripe alone; a search by doc_id skips stripes and row groups by their minimum and
 maximum, and by their Bloom filters. ``token_spans`` adds each file's tokens before it, from one row per file.
 
 Defined cases: null text is an empty text, and gives the end id alone; null ids come first; repeated rows are
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 
-SCHEMA = "part int, doc_id long, at long, ids array<int>"
+SCHEMA = "part int, doc_id long, at long, n_tokens int, ids array<int>"
 
 
 def _writer(tokenizer_json: str, end_id: int):
@@ -40,7 +40,7 @@ def _writer(tokenizer_json: str, end_id: int):
                 total = int(offsets[-1])
                 values = pa.Array.from_buffers(pa.int32(), total, [None, pa.py_buffer(b"".join(buffers))])
                 lists = pa.ListArray.from_arrays(pa.array(offsets), values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part, np.int32)), ids.slice(a, b - a), pa.array(offsets[:-1].astype(np.int64) + at), lists], ["part", "doc_id", "at", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part, np.int32)), ids.slice(a, b - a), pa.array(offsets[:-1].astype(np.int64) + at), pa.array(np.diff(offsets)), lists], ["part", "doc_id", "at", "n_tokens", "ids"])
                 at += total
 
     return write
@@ -66,7 +66,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
 
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(part, doc_id, at, ids) of the files; filters on doc_id are pushed down to stripes and row groups."""
+    """(part, doc_id, at, n_tokens, ids) of the files; filters on doc_id are pushed down to stripes and row groups."""
     return spark.read.schema(SCHEMA).orc(path)
 
 
@@ -88,7 +88,7 @@ def token_spans(spark: SparkSession, path: str) -> DataFrame:
     """From the files alone, per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     each = read_token_ids(spark, path).mapInArrow(_digests, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
     # one row per file, so the running sum without a partition is over as many rows as there are files
-    files = read_token_ids(spark, path).groupBy("part").agg(F.max(F.col("at") + F.size("ids")).alias("size"))
+    files = read_token_ids(spark, path).groupBy("part").agg(F.max(F.col("at") + F.col("n_tokens")).alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long").alias("base"))
     return each.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
