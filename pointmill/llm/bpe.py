@@ -17,9 +17,9 @@ import re
 
 import numpy as np
 
-#: Pieces in each of two generations that a Python worker remembers (about 80 MB each). A full one becomes the older
+#: Pieces in each of two generations that a Python worker remembers (about 110 MB each). A full one becomes the older
 #: one, of which what is met again moves on to the new one.
-MAX_PIECES = 300_000
+MAX_PIECES = 450_000
 #: Bytes of text encoded together.
 TEXT_ROOM = 2_000_000
 #: A space inside a run of white space that is not the run's last character.
@@ -76,7 +76,7 @@ class PieceEncoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """``known`` has what follows a space, keyed without it; ``lines`` the first word of a line, with the line end before it."""
-        known, plain, lines, rest, joined = self.known, {}, {}, [], []
+        known, plain, lines, rest, joined, tailed, tails = self.known, {}, {}, [], [], [], set()
         for p in pieces:
             if p.isalpha():
                 plain[p] = p
@@ -85,7 +85,8 @@ class PieceEncoder:
             if stem.isalpha() and "<" not in p:
                 if stem not in known:
                     plain[stem] = stem
-                joined.append((p, [(known, stem, p[len(stem) :])]))
+                tailed.append((p, stem, tail := p[len(stem) :]))
+                tails.add(tail)
                 continue
             first, *more = p.split("\n")
             if "<" in p or not first or not all(more) or _OTHER_SPACE.search(p):
@@ -107,8 +108,11 @@ class PieceEncoder:
                 known.update(zip(stems, self._each(stems, before)))
             else:
                 self.lines.update(zip(stems, [self.line_end_id + v for v in self._each(stems, before)]))
-        tails = list({t for _, made in joined for _, _, t in made if t and t not in self.tails})
-        self.tails.update(zip(tails, self._library(tails)))
+        tails.update(t for _, made in joined for _, _, t in made if t)
+        fresh = [t for t in tails if t not in self.tails]
+        bare = self.tails
+        bare.update(zip(fresh, self._library(fresh)))
+        known.update([(p, known[stem] + bare[tail]) for p, stem, tail in tailed])
         for p, made in joined:
             known[p] = b"".join([m[k] + self.tails[t] if t else m[k] for m, k, t in made])
         known.update(zip(rest, self._library([" " + p for p in rest])))
@@ -131,7 +135,7 @@ class PieceEncoder:
         for i, ids in zip(whole, self._library([texts[i] for i in whole])):
             out[i] = ids
         values = list(map(self.known.get, flat))
-        new = [i for i, v in enumerate(values) if v is None] if None in values else []
+        new = _places_of_none(values)
         if new:
             # the many small objects made here are no garbage; looking for cycles among them takes most of the time
             collects = gc.isenabled()
@@ -160,6 +164,16 @@ class PieceEncoder:
         return self.encode_many([text])[0]
 
 
+def _places_of_none(values: list) -> list[int]:
+    out, at = [], -1
+    try:
+        while True:
+            at = values.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
 def slices(sizes: list[int], room: int) -> list[tuple[int, int]]:
     """Runs of consecutive rows of about ``room`` in size, one row at least."""
     out, start, total = [], 0, 0
