@@ -154,3 +154,65 @@ def test_brotli_halves():
     fields = [("position", "int32", 3), ("intensity", "uint16", 1)]
     assert len(potree.encode_node(columns, fields, "BROTLI", n)) * 2 < len(potree.encode_node(columns, fields, "DEFAULT", n))
     assert pa.Codec.is_available("brotli")
+
+
+@pytest.mark.parametrize("encoding", ["binary", "zstandard"])
+def test_ept(spark, built, tmp_path, monkeypatch, encoding):
+    from pointmill.sources import ept
+
+    box = lod.extent(built)
+    edge = max(h - a for a, h in zip(*box))
+    folder = f"{tmp_path}/ept"
+    monkeypatch.setattr(ept.hierarchy_pages, "__defaults__", (7,))
+    manifest = ept.write(built, folder, SCALE, OFFSET, (box[0], edge), box, 8, "WKT[]", encoding)
+    assert manifest["points"] == built.count() and ept.crs_of(manifest) == "WKT[]"
+    assert len(files.list_files(f"{folder}/ept-hierarchy")) > 1
+    assert same(ept.nodes_of(spark, folder).filter("point_count > 0"), lod.node_table(built))
+    cols = ["level", "kx", "ky", "kz", "x", "y", "z", "intensity", "classification", "scan_angle", "gps_time", "green"]
+    assert same(ept.read_points(spark, folder).select(*cols), built.select(*cols))
+
+
+def test_tiles(spark, built, tmp_path):
+    from pointmill.sources import tiles
+
+    box = lod.extent(built)
+    edge = max(h - a for a, h in zip(*box))
+    folder = f"{tmp_path}/tiles"
+    tiles.write(built, folder, (box[0], edge), 8)
+    rows = tiles.tiles_of(spark, folder).collect()
+    nodes = {(r.level, r.x, r.y, r.z): r.point_count for r in lod.node_table(built).collect()}
+    assert {r.uri for r in rows if r.uri} == {f"tiles/{'-'.join(map(str, k))}.glb" for k in nodes}
+    for r in [r for r in rows if r.uri][:5]:
+        key = tuple(map(int, r.uri[6:-4].split("-")))
+        assert (r.x, r.y, r.z) == pytest.approx(tiles.center_of(key, box[0], edge))
+        p, rgb = tiles.node_points(files.read_all(f"{folder}/{r.uri}"))
+        want = built.filter(f"level = {key[0]} AND kx = {key[1]} AND ky = {key[2]} AND kz = {key[3]}").orderBy("ord").select("px", "py", "pz", "red").collect()
+        assert len(p) == nodes[key]
+        assert np.allclose(p + [r.x, r.y, r.z], [[w.px, w.py, w.pz] for w in want], atol=1e-2)
+        assert rgb[:, 0].tolist() == [w.red >> 8 for w in want]
+
+
+def test_implicit_quadtree(tmp_path):
+    from pointmill.sources import tiles
+    import json
+    import struct
+
+    def subtree(doc, data=b""):
+        text = json.dumps(doc).encode()
+        return struct.pack("<4sIQQ", b"subt", 1, len(text), len(data)) + text + data
+
+    folder = str(tmp_path)
+    root = {"geometricError": 8, "content": {"uri": "c/{level}/{x}/{y}.glb"}, "implicitTiling": {"subdivisionScheme": "QUADTREE", "subtreeLevels": 2, "availableLevels": 4, "subtrees": {"uri": "s/{level}.{x}.{y}.subtree"}}}
+    files.write_all(f"{folder}/tileset.json", json.dumps({"asset": {"version": "1.1"}, "geometricError": 9, "root": root}).encode())
+    bits = np.packbits([1, 1, 0, 1, 0], bitorder="little").tobytes()
+    children = np.packbits([0] * 6 + [1, 1] + [0] * 8, bitorder="little").tobytes()
+    doc = {"buffers": [{"byteLength": 3}], "bufferViews": [{"buffer": 0, "byteOffset": 0, "byteLength": 1}, {"buffer": 0, "byteOffset": 1, "byteLength": 2}], "tileAvailability": {"bitstream": 0}, "childSubtreeAvailability": {"bitstream": 1}}
+    files.write_all(f"{folder}/s/0.0.0.subtree", subtree(doc, bits + children))
+    files.write_all(f"{folder}/s/2.2.1.subtree", subtree({"tileAvailability": {"constant": 1}, "childSubtreeAvailability": {"constant": 0}}))
+    found, warned = tiles.implicit_tiles(folder, "", root["implicitTiling"])
+    # code 6 is x = 2, y = 1; code 7 is x = 3, y = 1, whose subtree is missing
+    assert [k for k in found if k[0] < 2] == [(0, 0, 0), (1, 0, 0), (1, 0, 1)]
+    assert {k for k in found if k[0] == 2} == {(2, 2, 1)} and len([k for k in found if k[0] == 3]) == 4
+    assert warned == [("subtree-missing", "s/2.3.1.subtree")]
+    rows, _ = tiles.walk(folder)
+    assert "c/3/5/3.glb" in {r[1] for r in rows}
