@@ -18,7 +18,7 @@ def round_half_away(v: Column) -> Column:
 def quantize(v: Column, scale: Column, offset: Column) -> Column:
     """Clamped before it is rounded, as whole numbers beyond 64 bits are an error."""
     steps = F.least(F.greatest((v - offset) / scale, F.lit(float(I32_MIN))), F.lit(float(I32_MAX)))
-    return round_half_away(steps).cast("int")
+    return F.when(v.isNotNull(), round_half_away(steps).cast("int"))
 
 
 def dequantize(q: Column, scale: Column, offset: Column) -> Column:
@@ -56,8 +56,8 @@ def scan_angle_rank(steps: Column) -> tuple[Column, Column]:
 
 
 def widen_channel(share: Column) -> Column:
-    """A share of 0 to 1 as 16 bits."""
-    return round_half_away(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * 65535).cast("int")
+    """A share of 0 to 1 as 16 bits; null stays null, which greatest and least would pass over."""
+    return F.when(share.isNotNull(), round_half_away(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * 65535).cast("int"))
 
 
 def fill_colour(c: Column) -> Column:

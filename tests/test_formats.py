@@ -216,3 +216,84 @@ def test_implicit_quadtree(tmp_path):
     assert warned == [("subtree-missing", "s/2.3.1.subtree")]
     rows, _ = tiles.walk(folder)
     assert "c/3/5/3.glb" in {r[1] for r in rows}
+
+
+def test_copc_pages(tmp_path):
+    from pointmill.sources import copc
+
+    rng = np.random.default_rng(7)
+    nodes = {(0, 0, 0, 0): (5, 100, 9)}
+    for _ in range(900):
+        level = int(rng.integers(1, 11))
+        nodes[(level, *(int(rng.integers(0, 2 ** max(0, level - 4))) for _ in range(3)))] = (int(rng.integers(1, 9)), int(rng.integers(0, 9999)), 3)
+    raw, at, size = copc.hierarchy_bytes(nodes, 64)
+    files.write_all(f"{tmp_path}/h", bytes(64) + raw)
+    back, warned = copc.read_hierarchy(f"{tmp_path}/h", at, size)
+    assert not warned and {k: v for k, v in back.items() if v[0]} == nodes and set(back) == potree.with_ancestors(nodes)
+    assert len(copc.pages_of(nodes)) > 1
+    info = copc.Info((1.0, 2.0, 3.0), 4.0, 0.5, 64, size, (0.0, 1.0))
+    assert copc.parse_info(copc.info_bytes(info)) == info and len(copc.info_bytes(info)) == 160
+    with pytest.raises(ValueError):
+        copc.parse_info(copc.info_bytes(copc.Info((1.0, 2.0, 3.0), 0.0, 0.5, 64, size, (0.0, 1.0))))
+
+
+def _grid():
+    from pointmill.sources.e57 import Field
+
+    fields = [*(Field(f"cartesian{a}", "ScaledInteger", 0, 2**31, 0.001, o) for a, o in zip("XYZ", (500000.0, 4300000.0, 100.0))), *(Field(f"color{c}", "Integer", 0, 255) for c in ("Red", "Green", "Blue"))]
+    i, j = np.divmod(np.arange(100), 10)
+    return fields, {"cartesianX": i * 1000, "cartesianY": j * 1000, "cartesianZ": i * j * 100, "colorRed": i, "colorGreen": j, "colorBlue": i * j}
+
+
+NO_POSE = (1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+
+
+def test_e57(spark, tmp_path):
+    from pointmill.sources import e57
+
+    half = np.sqrt(0.5)
+    turned = [e57.Field(f"cartesian{a}", "Float") for a in "XYZ"] + [e57.Field("cartesianInvalidState", "Integer", 0, 2), e57.Field("intensity", "Float", double=False)]
+    spherical = [e57.Field(n, "Float") for n in ("sphericalRange", "sphericalAzimuth", "sphericalElevation")]
+    scans = [
+        (*_grid(), NO_POSE),
+        (turned, {"cartesianX": [1.0, 0.0, 7.0], "cartesianY": [0.0, 2.0, 7.0], "cartesianZ": [0.0] * 3, "cartesianInvalidState": [0, 0, 2], "intensity": [0.0, 1.0, 0.5]}, (half, 0.0, 0.0, half, 100.0, 0.0, 0.0)),
+        (spherical, {"sphericalRange": [10.0] * 3, "sphericalAzimuth": [0.0, np.pi / 2, 0.0], "sphericalElevation": [0.0, 0.0, np.pi / 2]}, NO_POSE),
+    ]
+    e57.write(path := f"{tmp_path}/a.e57", scans, per_packet=37)
+    got = e57.read_points(spark, path).orderBy("scan", "packet", "row").collect()
+    first = [r for r in got if r.scan == 0]
+    assert len(first) == 100 and all((r.px, r.py) == pytest.approx((500000 + k // 10, 4300000 + k % 10)) and (r.red, r.green) == (k // 10 * 257, k % 10 * 257) for k, r in enumerate(first))
+    second = [r for r in got if r.scan == 1]
+    assert [(r.px, r.py) for r in second] == [pytest.approx((100, 1)), pytest.approx((98, 0))] and [r.intensity for r in second] == [0, 65535] and {r.red for r in second} == {65535}
+    assert [pytest.approx((r.px, r.py, r.pz), abs=1e-9) for r in got if r.scan == 2] == [(10, 0, 0), (0, 10, 0), (0, 0, 10)]
+    assert {r.point_source_id for r in got} == {1, 2, 3} and e57.dropped(spark, path) == 1
+    assert {"e57-multi-scan", "e57-spherical", "e57-bounds-undeclared"} <= {c for c, _ in e57.warnings_of(path)}
+    assert e57.crc32c(b"123456789") == 0xE3069283
+
+
+def test_commands(spark, points, tmp_path):
+    from pointmill.plans import commands
+    from pointmill.sources import e57
+
+    tile = las.write_tiles(points.coalesce(1), f"{tmp_path}/in", 7, SCALE, OFFSET, wkt="PROJCS[]").first().file
+    e57.write(scan := f"{tmp_path}/in/scan.e57", [(*_grid(), NO_POSE)])
+    report = commands.convert(spark, [tile, scan], f"{tmp_path}/p", "potree-brotli", span=16, leaf=500)
+    assert report["points"] == points.count() + 100 and report["scale"] == SCALE and ("mixed-crs", scan) in report["warnings"]
+    with pytest.raises(FileExistsError):
+        commands.convert(spark, [tile], f"{tmp_path}/p", "potree")
+    info, levels = commands.inspect(spark, f"{tmp_path}/p", deep=True)
+    assert info.first().point_count == report["points"] == levels.agg(F.sum("points")).first()[0]
+    found, code = commands.doctor(spark, f"{tmp_path}/p/metadata.json")
+    assert code == 0 and {"point-count", "small-nodes"} <= {r.code for r in found.collect()}
+    assert commands.doctor(spark, tile)[1] == 1
+    for fmt in ("ept", "3dtiles"):
+        assert commands.convert(spark, [tile], f"{tmp_path}/{fmt}", fmt, span=16, leaf=500)["points"] == points.count()
+    # points of merged inputs come back where they were
+    whole = potree.read_points(spark, f"{tmp_path}/p").agg(F.count("*"), F.max("point_source_id")).first()
+    assert whole[0] == report["points"]
+    n = commands.save_snapshot(spark, tile, f"{tmp_path}/a.png", size=64)
+    raw = files.read_all(f"{tmp_path}/a.png")
+    assert n > 50 and raw[:8] == b"\x89PNG\r\n\x1a\n"
+    assert commands.snapshot(spark, scan, size=32).count() > 10
+    with pytest.raises(ValueError):
+        commands.sniff(f"{tmp_path}/in")
