@@ -33,14 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import slices, text_sizes
 from .common import fold, stored, words_of
 
 END = b"\n"
 HEAD, HEAD_CLASSES, TAIL_CLASSES = 768, 24, 40
 KNOWN = 150_000
-HIDDEN, WINDOW, STREAMS = 16, 24, 192
-#: Tokens that are laid out in streams at once.
-BATCH_TOKENS = 400_000
+HIDDEN, WINDOW, STREAMS = 16, 24, 512
+#: Tokens that are laid out in streams at once, about 40 bytes each. Scoring takes as many steps as its longest document
+#: has tokens, so the more documents beside it the better.
+SCORE_TOKENS, TRAIN_TOKENS = 3_000_000, 1_000_000
+#: Texts turned into tokens at once.
+ENCODE_BYTES = 2_000_000
 #: Distinct tokens counted before partial counts leave a task.
 COUNTED = 400_000
 WARM_DOCS = 1_500
@@ -219,7 +223,7 @@ class Network:
     def backward(self, f: dict, dhs: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients through one window; dhs (T, B, H) from the outputs."""
         steps, streams = f["x"].shape
-        da = np.empty((steps, streams, 3 * HIDDEN), np.float32)
+        da = np.empty((steps, streams, 3 * HIDDEN), dhs.dtype)
         back = np.zeros((streams, HIDDEN), np.float32)
         ut, nt = self.p["U"].T.copy(), self.p["N"].T.copy()
         for t in range(steps - 1, -1, -1):
@@ -242,31 +246,50 @@ class Network:
         return {"E": e, "U": b.T @ flat[:, : 2 * HIDDEN], "N": (r * b).T @ flat[:, 2 * HIDDEN :]}
 
     def step(self, grads: dict[str, np.ndarray], rate: float) -> None:
-        """AdaGrad with decay."""
+        """AdaGrad."""
         if self.moments is None:
-            self.moments = {k: np.full_like(v, 1e-4) for k, v in self.p.items()}
+            self.moments = {k: np.full_like(v, 1e-6) for k, v in self.p.items()}
         for k, g in grads.items():
             m = self.moments[k]
-            m *= 0.98
-            m += 0.02 * g * g
-            self.p[k] -= rate * g / (np.sqrt(m) + 1e-4)
+            m += g * g
+            self.p[k] -= rate * g / np.sqrt(m)
 
 
 # ---- documents in streams ---------------------------------------------------------------------------------------
 
 
-def encode(texts: list[str | None], v: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """All tokens of the texts, ends included: place among the known tokens or -1, tail class, and the token itself."""
-    words: list[bytes] = []
-    sizes = []
-    for t in texts:
-        w = words_of(t)
-        w.append(END)
-        words += w
-        sizes.append(len(w))
-    get = v.known.get
-    place = np.fromiter([get(w, -1) for w in words], np.int64, len(words))
-    return place, np.array(sizes, np.int64), words
+@dataclass
+class Tokens:
+    """All tokens of some documents, ends included."""
+
+    place: np.ndarray  # among the known tokens, or -1
+    tails: np.ndarray  # class by the last bytes
+    sizes: np.ndarray  # tokens of each document
+    rare: list[list[bytes]]  # of each document, the tokens that are not known
+
+
+def encode(texts: list[str | None], v: Vocabulary) -> Tokens:
+    get, places, tails, sizes, rare = v.known.get, [], [], [], []
+    classes = v.classes if len(v.classes) else np.zeros(1, np.int64)
+    for a, b in slices([len(t or "") for t in texts], ENCODE_BYTES):
+        words: list[bytes] = []
+        own = []
+        for t in texts[a:b]:
+            w = words_of(t)
+            w.append(END)
+            words += w
+            own.append(len(w))
+        place = np.array([get(w, -1) for w in words], np.int32)
+        tail = classes[np.maximum(place, 0)].astype(np.int16)
+        unknown = np.flatnonzero(place < 0)
+        strange = [words[i] for i in unknown.tolist()]
+        tail[unknown] = [tail_class(w) for w in strange]
+        ends = np.searchsorted(unknown, np.cumsum(own)).tolist()
+        rare += [strange[x:y] for x, y in zip([0, *ends], ends)]
+        places.append(place)
+        tails.append(tail)
+        sizes += own
+    return Tokens(np.concatenate(places), np.concatenate(tails), np.array(sizes, np.int64), rare)
 
 
 def layout(sizes: np.ndarray, streams: int) -> list[list[int]]:
@@ -283,111 +306,112 @@ def layout(sizes: np.ndarray, streams: int) -> list[list[int]]:
     return [dealt[s] for s in sorted(length, key=lambda s: -length[s])]
 
 
-class Streams:
-    """A batch of documents as columns of time steps, by descending length, so the active ones are always the first."""
+class Targets:
+    """Class, place in the class and input of each token; -1 as place for tokens outside the head."""
 
-    def __init__(self, net: Network, v: Vocabulary, place: np.ndarray, tails: np.ndarray, sizes: np.ndarray, streams: int = STREAMS):
+    def __init__(self, net: Network, v: Vocabulary, t: Tokens):
         size = net.size
-        head = (place >= 0) & (place < v.head)
-        self.cls = np.where(head, place // size, HEAD_CLASSES + tails)
-        self.place = np.where(head, place % size, -1)
-        inputs = np.where(head, place, HEAD_CLASSES * size + tails)
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        index, self.lengths, first = [], [], np.zeros(len(place), bool)
-        first[starts] = True
-        for docs in layout(sizes, streams):
-            index.append(np.concatenate([np.arange(starts[d], ends[d]) for d in docs]))
-            self.lengths.append(len(index[-1]))
-        self.lengths = np.array(self.lengths)
-        self.at = np.zeros((int(self.lengths.max()), len(index)), np.int64)
-        for s, i in enumerate(index):
-            self.at[: len(i), s] = i
-        before = np.concatenate(([net.start], inputs[:-1]))
-        before[first] = net.start
-        self.before, self.first = before, first
-
-    def windows(self, steps: int):
-        """(token places (T, B), inputs, keep, mask); B is the number of streams that still have tokens."""
-        for t in range(0, len(self.at), steps):
-            b = int((self.lengths > t).sum())
-            at = self.at[t : t + steps, :b]
-            mask = (np.arange(t, t + len(at))[:, None] < self.lengths[None, :b])
-            yield at, self.before[at], (~self.first[at]).astype(np.float32)[:, :, None], mask
-
-
-def _tails(words: list[bytes], place: np.ndarray, v: Vocabulary) -> np.ndarray:
-    tails = v.classes[np.maximum(place, 0)] if len(v.classes) else np.zeros(len(place), np.int64)
-    unknown = np.flatnonzero(place < 0)
-    tails[unknown] = np.fromiter([tail_class(words[i]) for i in unknown.tolist()], np.int64, len(unknown))
-    return tails
+        head = (t.place >= 0) & (t.place < v.head)
+        self.cls = np.where(head, t.place // size, HEAD_CLASSES + t.tails).astype(np.int32)
+        self.place = np.where(head, t.place % size, -1).astype(np.int32)
+        inputs = np.where(head, t.place, HEAD_CLASSES * size + t.tails).astype(np.int32)
+        self.first = np.zeros(len(t.place), bool)
+        self.first[np.cumsum(t.sizes) - t.sizes] = True
+        self.before = np.concatenate((np.array([net.start], np.int32), inputs[:-1]))
+        self.before[self.first] = net.start
+
+
+def even_streams(n: int, streams: int) -> tuple[np.ndarray, np.ndarray]:
+    """Consecutive tokens cut into streams of one length, for training: (token places by step and stream, lengths)."""
+    steps = max(1, -(-n // streams))
+    at = np.arange(steps * (-(-n // steps)), dtype=np.int32).reshape(-1, steps).T
+    lengths = np.minimum(steps, n - np.arange(at.shape[1]) * steps)
+    return np.minimum(at, n - 1), lengths
+
+
+def whole_streams(sizes: np.ndarray, streams: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whole documents dealt to streams by descending length, for scoring."""
+    starts, index = np.cumsum(sizes) - sizes, []
+    for docs in layout(sizes, streams):
+        index.append(np.concatenate([np.arange(starts[d], starts[d] + sizes[d], dtype=np.int32) for d in docs]))
+    lengths = np.array([len(i) for i in index])
+    at = np.zeros((int(lengths.max()), len(index)), np.int32)
+    for k, i in enumerate(index):
+        at[: len(i), k] = i
+    return at, lengths
+
+
+def windows(at: np.ndarray, lengths: np.ndarray, target: Targets, steps: int):
+    """(token places (T, B), inputs, keep, mask); lengths descend, so the streams that still have tokens are the first."""
+    for t in range(0, len(at), steps):
+        b = int((lengths > t).sum())
+        part = at[t : t + steps, :b]
+        mask = np.arange(t, t + len(part))[:, None] < lengths[None, :b]
+        yield part, target.before[part], (~target.first[part]).astype(np.float32)[:, :, None], mask
 
 
 def train(net: Network, v: Vocabulary, texts: list[str | None], rate: float) -> int:
     """One pass of truncated backpropagation over the documents; the number of tokens."""
-    place, sizes, words = encode(texts, v)
-    s = Streams(net, v, place, _tails(words, place, v), sizes)
-    h = np.zeros((len(s.lengths), HIDDEN), np.float32)
-    for at, x, keep, mask in s.windows(WINDOW):
+    tokens = encode(texts, v)
+    target = Targets(net, v, tokens)
+    at, lengths = even_streams(len(tokens.place), STREAMS)
+    h = np.zeros((len(lengths), HIDDEN), np.float32)
+    for part, x, keep, mask in windows(at, lengths, target, WINDOW):
         f = net.forward(x, keep, h[: x.shape[1]])
         live = np.flatnonzero(mask.ravel())
-        tokens = at.ravel()[live]
-        _, dh, grads = net.output(f["hs"][1:].reshape(-1, HIDDEN)[live], s.cls[tokens], s.place[tokens], grad=True)
+        own = part.ravel()[live]
+        _, dh, grads = net.output(f["hs"][1:].reshape(-1, HIDDEN)[live], target.cls[own], target.place[own], grad=True)
         dhs = np.zeros((mask.size, HIDDEN), np.float32)
         dhs[live] = dh
         grads |= net.backward(f, dhs.reshape(*mask.shape, HIDDEN))
-        scale = 1.0 / len(live)
+        scale = np.float32(1.0 / len(live))
         net.step({k: g * scale for k, g in grads.items()}, rate)
         h = f["hs"][-1]
-    return len(place)
+    return len(tokens.place)
 
 
 def score(net: Network, v: Vocabulary, texts: list[str | None]):
     """Per document: tokens, known tokens, base sum and model sum of log10 without what rare tokens add, rare tokens."""
-    place, sizes, words = encode(texts, v)
-    tails = _tails(words, place, v)
-    s = Streams(net, v, place, tails, sizes)
+    tokens = encode(texts, v)
+    place, sizes = tokens.place, tokens.sizes
+    target = Targets(net, v, tokens)
+    at, lengths = whole_streams(sizes, STREAMS)
     logp = np.zeros(len(place))
-    h = np.zeros((len(s.lengths), HIDDEN), np.float32)
-    for at, x, keep, mask in s.windows(WINDOW):
+    h = np.zeros((len(lengths), HIDDEN), np.float32)
+    for part, x, keep, mask in windows(at, lengths, target, WINDOW):
         f = net.forward(x, keep, h[: x.shape[1]])
         live = np.flatnonzero(mask.ravel())
-        tokens = at.ravel()[live]
-        logp[tokens] = net.output(f["hs"][1:].reshape(-1, HIDDEN)[live], s.cls[tokens], s.place[tokens])[0]
+        own = part.ravel()[live]
+        logp[own] = net.output(f["hs"][1:].reshape(-1, HIDDEN)[live], target.cls[own], target.place[own])[0]
         h = f["hs"][-1]
     logp /= math.log(10)
     known = place >= 0
     counted = np.zeros(len(place))
     if len(v.counts):
-        counted[known] = np.log10(v.counts[place[known]] + 0.1)
-    tail = s.place < 0
-    logp[tail] += (counted - v.mass[tails])[tail]
+        counted[known] = np.log10(v.counts + 0.1)[place[known]]
+    tail = target.place < 0
+    logp[tail] += (counted - v.mass[tokens.tails])[tail]
     starts = np.cumsum(sizes) - sizes
     base = np.add.reduceat(counted, starts) - sizes * v.base_log_total
-    rare = []
-    unknown = np.flatnonzero(~known)
-    cuts = np.searchsorted(unknown, np.concatenate((starts, [len(place)])))
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        rare.append([words[i] for i in unknown[a:b].tolist()])
-    return sizes, np.add.reduceat(known.astype(np.int64), starts), base, np.add.reduceat(logp, starts), rare
+    return sizes, np.add.reduceat(known.astype(np.int64), starts), base, np.add.reduceat(logp, starts), tokens.rare
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int]]:
-    """Slices of rows of about BATCH_TOKENS tokens (six bytes each), each with whole texts."""
+def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Tables of whole rows of about ``most`` tokens (six bytes each), over the borders of batches."""
+    held, total = [], 0
     for batch in batches:
-        sizes = np.diff(np.asarray(batch.column("text").offsets)) if batch.num_rows and hasattr(batch.column("text"), "offsets") else np.array([len(t.as_py() or "") for t in batch.column("text")])
-        at, total = 0, 0
-        for i, n in enumerate(sizes.tolist()):
-            total += n
-            if total >= 6 * BATCH_TOKENS:
-                yield batch, at, i + 1
-                at, total = i + 1, 0
-        if at < batch.num_rows:
-            yield batch, at, batch.num_rows
+        for a, b in slices(text_sizes(batch.column("text")), 6 * most):
+            held.append(batch.slice(a, b - a))
+            total += held[-1].column("text").nbytes
+            if total >= 6 * most:
+                yield pa.Table.from_batches(held)
+                held, total = [], 0
+    if total or any(h.num_rows for h in held):
+        yield pa.Table.from_batches(held)
 
 
 def _pack(net: Network, tokens: int) -> bytes:
-    return pickle.dumps((tokens, net.p), protocol=5)
+    return pickle.dumps((tokens, net.p, net.moments), protocol=5)
 
 
 # ---- distributed training and scoring ---------------------------------------------------------------------------
@@ -395,9 +419,10 @@ def _pack(net: Network, tokens: int) -> bytes:
 _SET = "slot int, tokens long, params binary"
 
 
-def _averaged(sets: Iterator[tuple[int, dict[str, np.ndarray]]]) -> tuple[int, dict[str, np.ndarray]] | None:
+def _averaged(sets: Iterator[tuple]) -> tuple | None:
+    """Parameters averaged by tokens; scoring needs no moments."""
     total, mean = 0, None
-    for n, p in sets:
+    for n, p, *_ in sets:
         if not n:
             continue
         total += n
@@ -418,13 +443,13 @@ def _trainer(start, vocabulary_var, rate: float, passes: int):
         if start is None:
             net.unigram(v)
         else:
-            net.p = pickle.loads(start.value)[1]
+            _, net.p, net.moments = pickle.loads(start.value)
         tokens = 0
         if passes > 1:
             batches = list(batches)  # the warm start's bounded documents
         for k in range(passes):
-            for batch, a, b in _groups(iter(batches)):
-                tokens += train(net, v, batch.column("text").slice(a, b - a).to_pylist(), rate * (1 - 0.7 * k / passes))
+            for part in _groups(iter(batches), TRAIN_TOKENS):
+                tokens += train(net, v, part.column("text").to_pylist(), rate * (1 - 0.7 * k / passes))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 32], pa.int32()), pa.array([tokens], pa.int64()), pa.array([_pack(net, tokens)], pa.binary())], ["slot", "tokens", "params"])
 
     return run
@@ -435,7 +460,7 @@ def _merge(key, t):
     return pa.table({"slot": pa.array([key[0].as_py()], pa.int32()), "tokens": pa.array([total], pa.int64()), "params": pa.array([pickle.dumps((total, p), protocol=5)], pa.binary())})
 
 
-def fit(training: DataFrame, v: Vocabulary, warm_docs: int = WARM_DOCS, rate: float = 0.01) -> bytes:
+def fit(training: DataFrame, v: Vocabulary, warm_docs: int = WARM_DOCS, rate: float = 0.05) -> bytes:
     """Trained parameters: a warm start in one task, then one pass of every partition, averaged by tokens."""
     sc = training.sparkSession.sparkContext
     shared = sc.broadcast(pickle.dumps(v, protocol=5))
@@ -448,7 +473,7 @@ def fit(training: DataFrame, v: Vocabulary, warm_docs: int = WARM_DOCS, rate: fl
         return _pack(net, 0)
     start = sc.broadcast(bytes(first[0]["params"]))
     # most of 32 sets reach one task of the second step for each thousand partitions
-    sets = texts.mapInArrow(_trainer(start, shared, rate * 0.3, 1), _SET).groupBy("slot").applyInArrow(_merge, _SET)
+    sets = texts.mapInArrow(_trainer(start, shared, rate, 1), _SET).groupBy("slot").applyInArrow(_merge, _SET)
     mean = _averaged(pickle.loads(bytes(r["params"])) for r in sets.filter("tokens > 0").toLocalIterator())
     return pickle.dumps(mean, protocol=5) if mean else bytes(first[0]["params"])
 
@@ -461,11 +486,10 @@ def _scorer(params, vocabulary_var):
         v = pickle.loads(vocabulary_var.value)
         net = Network(v.head)
         net.p = pickle.loads(params.value)[1]
-        for batch, a, b in _groups(batches):
-            part = batch.slice(a, b - a)
+        for part in _groups(batches, SCORE_TOKENS):
             sizes, known, base, model, rare = score(net, v, part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("held_out"), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(model), pa.array(rare, pa.list_(pa.binary()))],
+                [part.column("doc_id").combine_chunks(), part.column("held_out").combine_chunks(), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(model), pa.array(rare, pa.list_(pa.binary()))],
                 ["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare"],
             )
 
