@@ -62,3 +62,26 @@ def test_append(spark, tmp_path):
     assert take() == 64
     arrive(1)
     assert take() == 128 == take()
+
+
+def test_http(spark, tmp_path):
+    from pointmill.operators import diagnose
+    from pointmill.sources import http
+
+    (tmp_path / "octree.bin").write_bytes(bytes(range(256)))
+    s = serve.server(str(tmp_path), port=0, cache=60)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{s.server_address[1]}/octree.bin"
+    try:
+        assert http.read_range(url, 10, 3) == b"\x0a\x0b\x0c" and http.size_of(url) == 256
+        with pytest.raises(OSError):
+            http.read_range(url, 300, 3)
+        found = diagnose.transport_findings(http.probe(spark, [url, url + "x"]), ["url"], "https://example.com")
+        codes = {(r.url == url, r.level, r.code) for r in found.collect()}
+        assert {(True, "pass", "range"), (True, "pass", "cors"), (False, "fail", "payload-missing")} <= codes
+        assert not [c for c in codes if c[0] and c[1] != "pass"]
+        assert sorted(r.exit_code for r in diagnose.exit_codes(found, ["url"]).collect()) == [0, 1]
+    finally:
+        s.shutdown()
+    assert http.split_target("https://h/a/metadata.json?x=1") == ("https://h/a", "metadata.json")
+    assert http.split_target("https://h/a/b/") == ("https://h/a/b", "")
