@@ -54,10 +54,9 @@ def build(points: DataFrame, order: Sequence[str], span: int = SPAN, leaf_points
         cells = [g.grid_cell(p, g.key_low(a, step, F.col(f"k{n}")), step / span, span) for a, p, n in zip(low, place, AXES)]
         celled = rest.withColumns({f"c{n}": c for n, c in zip(AXES, cells)})
         counts = stored(celled.groupBy("kx", "ky", "kz").agg(F.count("*").alias("node_points")), "node-counts")
-        n_nodes = counts.count()
+        n_nodes, largest = counts.agg(F.count("*"), F.max("node_points")).first()
         if not n_nodes:
             break
-        largest = counts.agg(F.max("node_points")).first()[0]
         if largest <= leaf_points or level == max_depth:
             kept, moved = rest, None
         else:
