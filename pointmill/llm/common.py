@@ -58,6 +58,14 @@ def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, lengthened until no taken one is like it."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def fold(doc_id: Column | str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -69,4 +77,4 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-__all__ = ["StorageLevel", "drop_path", "drop_stored", "fold", "new_path", "shared_dir", "small", "stored", "table", "words_of"]
+__all__ = ["StorageLevel", "drop_path", "drop_stored", "fold", "fresh", "new_path", "shared_dir", "small", "stored", "table", "words_of"]

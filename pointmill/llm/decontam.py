@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 from .quality_rules import let
 
 BROADCAST_WINDOWS = 200_000
@@ -132,12 +132,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_literal
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without leaks; columns as they were."""
-    found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("leaked_id")).distinct()
+    key = fresh("leaked_id", docs.columns)
+    found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias(key)).distinct()
     found = stored(found, "leaked-ids")
     # a few in a hundred documents leak; the list is broadcast while it is at most a million ids (8 MB)
     if found.limit(1_000_001).count() <= 1_000_000:
         found = F.broadcast(found)
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("leaked_id")), "left_anti").select(*docs.columns)
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti").select(*docs.columns)
 
 
 def _canon_sql(column: str) -> str:

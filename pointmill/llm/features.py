@@ -74,13 +74,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, even: boo
     """
     known = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("label").cast("string")).alias("label"))
     h = F.xxhash64("doc_id")
+    share = F.lit(min(1.0, max_rows / max(1, 0 if even else known.count())))
     if even:
         per = {r["label"]: r["count"] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_rows).collect()}
         quota = max(1, max_rows // max(1, len(per)))
         share = F.lit(0.0)
         for label, n in per.items():
             share = F.when(F.col("label") == label, F.lit(min(1.0, quota / n))).otherwise(share)
-        known = known.filter(F.pmod(h, F.lit(1 << 20)) < share * (1 << 20))
+    # the share leaves about max_rows of them, so the ordered limit after it sees no more than that, however many there are
+    known = known.filter(F.pmod(h, F.lit(1 << 30)) < share * (1 << 30))
     chosen = known.withColumn("h", h).orderBy("h", "doc_id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     rows = texts.join(F.broadcast(chosen), "doc_id").select("h", "label", "text")

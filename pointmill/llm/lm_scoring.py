@@ -8,7 +8,7 @@ is one distribution over the base model's V + 1 symbols and their tail classes.
 
 Training is truncated backpropagation in numpy over windows of ``WINDOW`` steps, state carried from window to window
 and reset at document starts. A warm start runs in one task over a bounded number of training documents
-(``warm_docs``); then every input partition passes over all its training documents from there, and the parameters are
+(about ``warm_docs``); then every input partition passes over all its training documents from there, and the parameters are
 averaged by tokens (local SGD), in two steps so that no task or driver holds more than a few dozen sets of them.
 
 Scoring carries the state through whole documents. Tokens outside the ``KNOWN`` most frequent ones need their counts:
@@ -465,8 +465,11 @@ def fit(training: DataFrame, v: Vocabulary, warm_docs: int = WARM_DOCS, rate: fl
     sc = training.sparkSession.sparkContext
     shared = sc.broadcast(pickle.dumps(v, protocol=5))
     texts = training.select("text")
-    sample = training.select("text", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(warm_docs).select("text")
-    first = sample.coalesce(1).mapInArrow(_trainer(None, shared, rate, 4), _SET).collect()
+    # a share by a hash of the id, so nothing is sorted and only the sample is moved
+    n_docs = int(v.counts[v.known[END]]) if END in v.known else 0
+    share = min(1.0, warm_docs / max(1, n_docs))
+    sample = training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
+    first = sample.repartition(1).mapInArrow(_trainer(None, shared, rate, 4), _SET).collect()
     if not first:
         net = Network(v.head)
         net.unigram(v)

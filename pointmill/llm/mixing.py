@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh, stored
 from .features import SIZE, WORDS, Rows, labelled_sample, places, shrink
 
 MAX_TRAIN = 8_000
@@ -166,6 +166,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = T
     """
     post, domains = posteriors(docs, labelled, max_train)
     rate, _ = fit_rates(post, domains, targets, budget)
-    per_id = post.select(F.col("doc_id").alias("r_id"), copies_of(rate, F.col("doc_id")).alias("copies")).groupBy("r_id").agg(F.max("copies").alias("copies"))
-    joined = docs.join(per_id, F.col("doc_id").eqNullSafe(F.col("r_id"))).filter("copies > 0")
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    key, times, copy = (fresh(n, docs.columns) for n in ("rated_id", "copies", "copy"))
+    per_id = post.select(F.col("doc_id").alias(key), copies_of(rate, F.col("doc_id")).alias(times)).groupBy(key).agg(F.max(times).alias(times))
+    joined = docs.join(per_id, F.col("doc_id").eqNullSafe(F.col(key))).filter(F.col(times) > 0)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -250,7 +250,7 @@ def test_leaks(spark, empty):
         (1, f"Before it. {ITEM} After it."),
         (8, "5 6 7 8 9 10 11 12 13 14 " * 3000 + ITEM.upper()),
     ]
-    docs = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, item_id int, offset int")
+    docs = spark.createDataFrame([(d, t, 1, 2, 3) for d, t in rows], "doc_id long, text string, item_id int, offset int, leaked_id int")
     found = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
     assert found == {(1, 1), (2, 1), (7, 4), (None, 1)}
     assert [r.doc_id for r in decontam.clean(docs, bench).orderBy("doc_id").collect()] == [3, 4, 5, 6, 8]
