@@ -2,7 +2,8 @@
 
 A text becomes lower-cased words without punctuation, in which numbers, names and units are typed slots that keep
 their value: a number is a word that starts with a digit (punctuation before it aside), a unit is a word of the unit
-list after a number, a name is a capitalised word that does not start a sentence. The template of a text has the
+list after a number, a name is a word of a capital and small letters that does not start a sentence (words all in
+capitals are words, so a shouted copy is still found). The template of a text has the
 slots' types in place of their values, so a re-parameterised question has the template of the question.
 
 Windows of ``width`` template words are hash-joined with the windows of the benchmark that have at least
@@ -38,8 +39,8 @@ UNITS = (
 #: (pattern, replacement with $n): numbers, names (twice, as neighbours share the space), units; then punctuation goes.
 STEPS = (
     (rf"(^|[{_S}])([^{_S}\p{{L}}\p{{N}}]*\p{{N}}[^{_S}]*)", "$1\x01n$2"),
-    (rf"([^{_S}.!?:;\"'\x01][{_S}]+)(\p{{Lu}}\p{{L}}*)", "$1\x01p$2"),
-    (rf"([^{_S}.!?:;\"'\x01][{_S}]+)(\p{{Lu}}\p{{L}}*)", "$1\x01p$2"),
+    (rf"([^{_S}.!?:;\"'\x01][{_S}]+)(\p{{Lu}}\p{{Ll}}\p{{L}}*)", "$1\x01p$2"),
+    (rf"([^{_S}.!?:;\"'\x01][{_S}]+)(\p{{Lu}}\p{{Ll}}\p{{L}}*)", "$1\x01p$2"),
     (rf"(\x01n[^{_S}]*[{_S}]+)({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})([^\p{{L}}\p{{N}}]|$)", "$1\x01u$2$3"),
 )
 _PUNCTUATION = rf"[^\p{{L}}\p{{N}}\x01{_S}]+"
