@@ -28,11 +28,12 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored, words_of
+from .common import drop_stored, fresh, stored, words_of
 
 BITS = 64
 SEGMENTS = 32
@@ -274,7 +275,8 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, seed: in
 def one_of_each(docs: DataFrame, distance: int = 4, width: int = 4) -> DataFrame:
     """The documents whose doc_id is their component's least, one row each; columns as they were.
 
-    Rows without a doc_id go where their component has a document with one, and stay where it has none.
+    Rows without a doc_id go where their component has a document with one; where it has none, one row of each
+    fingerprint stays.
     """
     found = near_duplicates(docs, distance, width)
     kept = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("times"))
@@ -286,6 +288,16 @@ def one_of_each(docs: DataFrame, distance: int = 4, width: int = 4) -> DataFrame
         out = once.unionByName(out.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
     nameless = found.filter("doc_id IS NULL AND component_id IS NULL").select("fp").distinct()
     if nameless.limit(1).count():
-        lone = docs.filter("doc_id IS NULL")
-        out = out.unionByName(lone)
+        key = fresh("fp", docs.columns)
+        lone = docs.filter("doc_id IS NULL").withColumn(key, _fingerprint_column(width, seed=42)(F.col("text")))
+        lone = lone.join(nameless.withColumnRenamed("fp", key), key, "left_semi").dropDuplicates([key])
+        out = out.unionByName(lone.select(*docs.columns))
     return out
+
+
+def _fingerprint_column(width: int, seed: int):
+    @F.pandas_udf("long")
+    def column(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, width, seed) for t in texts], np.uint64).view(np.int64))
+
+    return column

@@ -189,6 +189,12 @@ def test_one_of_each(spark, edge):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in comp})
 
 
+def test_one_of_each_without_ids(spark):
+    rows = [(None, "alone and without an id at all"), (None, "alone and without an id at all"), (None, "a text that has an id elsewhere"), (5, "a text that has an id elsewhere"), (5, "a text that has an id elsewhere")]
+    kept = simhash.one_of_each(spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, fp int"))
+    assert sorted((tuple(r) for r in kept.collect()), key=repr) == [(5, rows[3][1], 1), (None, rows[0][1], 1)]
+
+
 # ---- quality rules, URL filters ------------------------------------------------------------------------------------
 
 
