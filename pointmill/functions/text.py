@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,8 +80,6 @@ def vertical_epsg(wkt: str | None) -> int | None:
 
 def epsg_columns(wkt: Column) -> tuple[Column, Column]:
     """Horizontal and vertical codes of a WKT column: nested brackets are beyond regular expressions, so Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def horizontal(s: pd.Series) -> pd.Series:
         return s.map(horizontal_epsg).astype("Int64")

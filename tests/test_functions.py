@@ -92,6 +92,11 @@ def test_wkt():
     assert t.vertical_epsg("") is None
 
 
+def test_wkt_columns(spark):
+    rows = spark.createDataFrame([('PROJCS["p",AUTHORITY["EPSG","26912"]]',), ('VERT_CS["h",AUTHORITY["EPSG","5703"]]',), (None,)], "wkt string")
+    assert [tuple(r) for r in rows.select(*t.epsg_columns(F.col("wkt"))).collect()] == [(26912, None), (None, 5703), (None, None)]
+
+
 def test_strings(spark):
     assert one(spark, t.human_bytes(F.lit(1023)), t.human_bytes(F.lit(1536)), t.human_bytes(F.lit(200 * 1024))) == ("1023 B", "1.5 KiB", "200 KiB")
     assert one(spark, t.thousands(F.lit(1234567)), t.content_type(F.lit("a/b.JSON"))) == ("1,234,567", "application/json")
