@@ -37,7 +37,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and leaves out documents so that expected domain totals match the targets."""
     from pointmill.llm.mixing import TARGETS, labelled_domains, mixed
 
-    return mixed(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), TARGETS)
+    # what labels call low has been rejected before, so only languages have targets here
+    targets = {k: v for k, v in TARGETS.items() if k != "low"}
+    return mixed(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), targets)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,13 +6,14 @@ Nonnegative document rates r minimise
 
     1/2 (A r - T)' M (A r - T),   A_kd = tokens of d * posterior of domain k,   T_k = target share k * token budget
 
-from r = 1 by projected gradients scaled by each document's tokens: r <- max(0, r - D A' M (A r - T)), D = 1 / tokens of d,
+from r = 1 by projected gradients scaled by each document's tokens: r <- clip(r - D A' M (A r - T)) to 0 .. MAX_RATE, D = 1 / tokens,
 so a rate depends on what a document is and not on how long it is. M is the inverse of A D A' (a K by K matrix, so one
 aggregate gives it), which makes the step length 1 exact while no rate is cut at zero; further iterations settle those
 that are. Each iteration is one aggregate of K sums over the documents' stored posteriors; a rate is a chain of K-term
 expressions of a document's own row, so no iteration writes or shuffles documents.
 
-Domains without tokens in the input cannot be matched: their target is left out and the others are scaled up.
+Domains without a target, and those whose tokens times MAX_RATE do not reach it, cannot be matched: they are left out
+of the fit, and the others share their own tokens in the targets' proportions.
 
 Defined cases: null and blank texts have no tokens and rate 1, as they cannot change any total; labelled rows with a
 null id or label are ignored; without any labelled row there is one domain ``all`` and the rates only match the budget;
@@ -34,6 +35,8 @@ from .features import SIZE, WORDS, Rows, labelled_sample, places, shrink
 
 MAX_TRAIN = 8_000
 ITERATIONS = 25
+#: The most copies of a document that a mixture may ask for.
+MAX_RATE = 4.0
 #: Share of the mean diagonal added to A D A', against domains that nearly coincide.
 RIDGE = 1e-6
 #: Target shares of tokens: languages of good documents, and little of what labels call low or toxic.
@@ -113,19 +116,24 @@ def posteriors(docs: DataFrame, labelled: DataFrame, max_train: int = MAX_TRAIN)
     return stored(docs.select("doc_id", "text").mapInArrow(_posteriors(shared), "doc_id long, n_tokens long, posterior array<double>"), "posteriors"), model.domains
 
 
-def fit_rates(post: DataFrame, domains: list[str], targets: Mapping[str, float], budget: float | None = None, iterations: int = ITERATIONS, tolerance: float = 1e-4) -> tuple[Column, dict]:
+def fit_rates(post: DataFrame, domains: list[str], targets: Mapping[str, float], budget: float | None = None, iterations: int = ITERATIONS, tolerance: float = 1e-4, max_rate: float = MAX_RATE) -> tuple[Column, dict]:
     """The rate as a column over (n_tokens, posterior), and a report of totals before, after and aimed at."""
+    place = [domains.index(d) for d in domains if targets.get(d, 0.0) > 0] or list(range(len(domains)))
+    total = float(post.agg(F.sum("n_tokens")).first()[0] or 0)
+    share = post.agg(*[F.sum(F.col("n_tokens") * F.get("posterior", F.lit(i))) for i in place]).first()
+    # what even the greatest rate cannot bring to its target is left out, as are domains without a target
+    reach = [i for i, x in zip(place, share) if float(x or 0) * max_rate >= targets.get(domains[i], 0.0) * (budget or total) and float(x or 0) > 0]
+    place = reach or place
+    domains = [domains[i] for i in place]
     k = len(domains)
-    p = [F.get("posterior", F.lit(i)) for i in range(k)]
+    p = [F.get("posterior", F.lit(i)) for i in place]
     a = [F.col("n_tokens") * x for x in p]
-    sums = post.agg(*[F.sum(x) for x in a], *[F.sum(a[i] * p[j]) for i in range(k) for j in range(k)], F.sum("n_tokens")).first()
+    sums = post.agg(*[F.sum(x) for x in a], *[F.sum(a[i] * p[j]) for i in range(k) for j in range(k)]).first()
     now = np.array([float(x or 0) for x in sums[:k]])
     gram = np.array([float(x or 0) for x in sums[k : k + k * k]]).reshape(k, k)
-    total = float(sums[k + k * k] or 0)
     aim = np.array([targets.get(d, 0.0) for d in domains]) if any(d in targets for d in domains) else np.ones(k)
-    # below a millionth of the tokens, a domain is not there
-    aim = np.where(now > 1e-6 * max(total, 1.0), aim, 0.0)
-    goal = aim / aim.sum() * (budget or total) if aim.sum() else now
+    # tokens of the domains left out stay as they are
+    goal = aim / aim.sum() * now.sum() * ((budget or total) / max(total, 1.0))
     report = {"domains": domains, "before": now.tolist(), "target": goal.tolist()}
     rate = F.lit(1.0)
     if not total:
@@ -139,7 +147,7 @@ def fit_rates(post: DataFrame, domains: list[str], targets: Mapping[str, float],
         step = F.lit(0.0)
         for i in range(k):
             step = step + p[i] * float(y[i])
-        rate = F.when(F.col("n_tokens") > 0, F.greatest(F.lit(0.0), rate - step)).otherwise(F.lit(1.0))
+        rate = F.when(F.col("n_tokens") > 0, F.least(F.greatest(F.lit(0.0), rate - step), F.lit(max_rate))).otherwise(F.lit(1.0))
         after = np.array([float(x or 0) for x in post.agg(*[F.sum(rate * x) for x in a]).first()])
     return rate, report | {"after": after.tolist()}
 
