@@ -27,10 +27,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents into which a benchmark item leaked."""
+    """Removes documents into which a benchmark item leaked, edited copies and excerpts included."""
     from pointmill.llm.decontam import clean
 
-    return clean(docs, table(spark, sf_dir, "benchmark"))
+    return clean(docs, table(spark, sf_dir, "benchmark"), edited=True)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,14 @@ consistent: each value of the item stands for one value of the document, and the
 document if the windows of consistent alignments cover at least ``coverage`` of its windows. Items shorter than a
 window are searched as a whole, by windows of their own length, down to ``min_literals`` words.
 
+With ``edited``, edited copies are searched besides, without slots: windows of
+EDITED_WIDTH lower-cased words are joined, and the item's words that they cover are counted in a band of offsets as wide
+as half the item. An item leaks if EDITED_COVERAGE of its words are covered (EDITED_WORDS at least, or all of a shorter
+item), or if EDITED_RUN words follow each other unchanged. So a few changed, added or left-out words, another case of
+letters, and excerpts of EDITED_RUN words hide nothing.
+Items below EDITED_WIDTH words are not searched this way. The row of a leak that only this search finds has the covered
+words and the item's words as windows and item_windows, and no n_slots.
+
 Each document row makes its windows alone, and only windows that meet the benchmark are shuffled. The benchmark's
 windows are broadcast while they are at most BROADCAST_WINDOWS rows, counted first; beyond it the join shuffles.
 
@@ -29,6 +37,9 @@ from .quality_rules import let
 
 BROADCAST_WINDOWS = 200_000
 WIDTH, MIN_LITERALS, COVERAGE = 8, 5, 0.5
+EDITED_WIDTH, EDITED_COVERAGE, EDITED_WORDS, EDITED_RUN = 4, 0.5, 8, 13
+#: The narrowest band of offsets, in words.
+BAND = 16
 _S = r"\x20\x09-\x0D"
 # Units of measure, as words after a number.
 UNITS = (
@@ -79,7 +90,7 @@ def _windows(words: Column, width: int) -> Column:
 
             return let(some, every)
 
-        return F.when(F.size(w) >= width, let(_template(w), windows))
+        return F.when(F.size(w) >= width, let(F.transform(_template(w), lambda x: F.xxhash64(x)), windows))
 
     return let(words, of)
 
@@ -106,8 +117,8 @@ def _conflicts(pairs: DataFrame, one: str, other: str) -> DataFrame:
     return pairs.groupBy(*key, one).agg((F.min(other) != F.max(other)).alias("several")).filter("several").select(*key).distinct()
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_literals: int = MIN_LITERALS, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, windows, item_windows, n_slots): each item that leaks into a document."""
+def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_literals: int = MIN_LITERALS, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", edited: bool = False) -> DataFrame:
+    """(doc_id, item_id, windows, item_windows, n_slots): each item that leaks into a document, with ``edited`` edited copies too."""
     words = docs.select(F.col(id_col).alias("doc_id"), template_words(F.col(text_col)).alias("w"))
     matches = totals = None
     for k, rows in benchmark_windows(benchmark, width, min_literals).items():
@@ -128,7 +139,64 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_literal
     covered = good.groupBy("doc_id", "item_id").agg(F.countDistinct("ipos").alias("windows"), F.max(F.size("slots")).cast("long").alias("n_slots"))
     totals = totals.withColumnRenamed("item_id", "t_item")
     joined = covered.join(F.broadcast(totals) if totals.count() <= BROADCAST_WINDOWS else totals, F.col("item_id").eqNullSafe(F.col("t_item")))
-    return joined.filter(F.col("windows") >= coverage * F.col("item_windows")).select("doc_id", "item_id", "windows", "item_windows", "n_slots")
+    out = joined.filter(F.col("windows") >= coverage * F.col("item_windows")).select("doc_id", "item_id", "windows", "item_windows", "n_slots")
+    if edited:
+        out = stored(out, "template-leaks")
+        known = out.select(F.col("doc_id").alias("t_doc"), F.col("item_id").alias("t_item"))
+        more = edited_leaks(docs, benchmark, id_col=id_col, text_col=text_col)
+        more = more.join(known, F.col("doc_id").eqNullSafe(F.col("t_doc")) & F.col("item_id").eqNullSafe(F.col("t_item")), "left_anti")
+        out = out.unionByName(more.select("doc_id", "item_id", F.col("covered").cast("long").alias("windows"), F.col("n_words").cast("long").alias("item_windows"), F.lit(None).cast("long").alias("n_slots")))
+    return out
+
+
+def plain_words(text: Column) -> Column:
+    """Lower-cased words of a text without punctuation, values and names as they stand."""
+    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _PUNCTUATION, ""), f"[{_S}]+"), lambda w: w != "")
+
+
+def _plain_windows(words: Column) -> Column:
+    """(pos, h) of each window of EDITED_WIDTH words."""
+
+    def of(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - EDITED_WIDTH), lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get(w, i + k) for k in range(EDITED_WIDTH)]).alias("h")))
+
+    return let(F.transform(words, lambda x: F.xxhash64(x)), lambda w: F.when(F.size(w) >= EDITED_WIDTH, of(w)))
+
+
+def _plain_alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n_words, offset, at): the sorted places in the item of the windows that a document has at an offset.
+
+    ``docs`` has (doc_id, text), ``items`` (item_id, w).
+    """
+    rows = stored(items.select("item_id", F.size("w").alias("n_words"), F.explode(_plain_windows(F.col("w"))).alias("x")).select("item_id", "n_words", F.col("x.pos").alias("ipos"), "x.h"), "benchmark-plain-windows")
+    found = docs.select("doc_id", F.explode(_plain_windows(plain_words(F.col("text")))).alias("x")).select("doc_id", "x.pos", "x.h")
+    found = found.join(F.broadcast(rows) if rows.count() <= BROADCAST_WINDOWS else rows, "h").select("doc_id", "item_id", "n_words", (F.col("pos") - F.col("ipos")).alias("offset"), "ipos")
+    return found.groupBy("doc_id", "item_id", "n_words", "offset").agg(F.array_sort(F.collect_set("ipos")).alias("at"))
+
+
+def _longest_run(at: Column) -> Column:
+    """The most consecutive numbers in a sorted array."""
+
+    def step(state: Column, x: Column) -> Column:
+        run = F.when(x == state["last"] + 1, state["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(state["best"], run).alias("best"))
+
+    return F.aggregate(at, F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best")), step, lambda s: s["best"])
+
+
+def edited_leaks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, n_words, covered, run): each item of which a document has enough words in order, or a long excerpt."""
+    items = stored(benchmark.select(F.col(item_col).alias("item_id"), plain_words(F.col(text_col)).alias("w")).distinct(), "plain-items")
+    found = _plain_alignments(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), items)
+    words = F.flatten(F.transform("at", lambda p: F.sequence(p, p + (EDITED_WIDTH - 1))))
+    band = F.greatest(F.lit(BAND), F.floor(F.col("n_words") / 2).cast("int"))
+    # bands overlap by half, so offsets that differ by half a band meet in one
+    bands = F.array(F.floor(F.col("offset") / band) * 2, F.floor((F.col("offset") + F.floor(band / 2)) / band) * 2 + 1)
+    found = found.select("doc_id", "item_id", "n_words", words.alias("words"), (_longest_run(F.col("at")) + (EDITED_WIDTH - 1)).alias("run"), F.explode(bands).alias("band"))
+    found = found.groupBy("doc_id", "item_id", "n_words", "band").agg(F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("covered"), F.max("run").alias("run"))
+    found = found.groupBy("doc_id", "item_id", "n_words").agg(F.max("covered").alias("covered"), F.max("run").alias("run"))
+    enough = F.least(F.col("n_words"), F.greatest(F.lit(EDITED_WORDS), F.ceil(F.col("n_words") * EDITED_COVERAGE)))
+    return found.filter((F.col("covered") >= enough) | (F.col("run") >= EDITED_RUN))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -13,7 +13,7 @@ from .common import new_path, table
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import leaks
 
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), edited=True)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -264,6 +264,30 @@ def test_leaks(spark, empty):
     assert decontam.clean(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_edited_leaks(spark):
+    """Shouted, lower-cased and title-case copies, 5 % edited ones and a short excerpt are removed from the corpus."""
+    rng = np.random.default_rng(2)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+
+    def edit(words):
+        out = list(words)
+        for i in rng.choice(len(out), max(1, round(len(out) * 0.05)), replace=False):
+            out[i] = "edited"
+        return out
+
+    copies = []
+    for text in texts:
+        w = text.split()
+        dropped = [x for i, x in enumerate(w) if i != len(w) // 2]
+        copies += [text.upper(), text.lower(), text.title(), " ".join(edit(w)), " ".join(dropped), " ".join(w[1:14])]
+    clean_words = "a plain document that shares what is the of and with nothing else in here".split()
+    rows = [(i, f"Before it all. {t} After it all.", 1) for i, t in enumerate(copies)] + [(-1, " ".join(clean_words * 30), 1), (-2, None, 1), (-3, "", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, offset int")
+    assert {r.doc_id for r in decontam.clean(docs, bench, edited=True).collect()} == {-1, -2, -3}
+    assert decontam.edited_leaks(docs, bench.limit(0)).count() == decontam.edited_leaks(docs.limit(0), bench).count() == 0
+
+
 # ---- language, quality, mixing --------------------------------------------------------------------------------------
 
 
