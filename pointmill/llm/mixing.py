@@ -6,14 +6,16 @@ Nonnegative document rates r minimise
 
     1/2 (A r - T)' M (A r - T),   A_kd = tokens of d * posterior of domain k,   T_k = target share k * token budget
 
-from r = 1 by projected gradients scaled by each document's tokens: r <- clip(r - D A' M (A r - T)) to 0 .. MAX_RATE, D = 1 / tokens,
+from r = 1 by projected gradients scaled by each document's tokens: r <- clip(r - D A' M (A r - T)) to 0 .. ``max_rate``, D = 1 / tokens,
 so a rate depends on what a document is and not on how long it is. M is the inverse of A D A' (a K by K matrix, so one
 aggregate gives it), which makes the step length 1 exact while no rate is cut at zero; further iterations settle those
 that are. Each iteration is one aggregate of K sums over the documents' stored posteriors; a rate is a chain of K-term
 expressions of a document's own row, so no iteration writes or shuffles documents.
 
-Domains without a target, and those whose tokens times MAX_RATE do not reach it, cannot be matched: they are left out
-of the fit, and the others share their own tokens in the targets' proportions.
+Every domain with a target is in the fit. Rates have no bound unless the caller gives one (``max_rate``); under a bound,
+a domain out of reach gets as near to its target as the least squares bring it. Domains without a target are left out:
+the others share their own tokens in the targets' proportions. ``fit_rates`` reports totals, targets and residuals by
+domain, which ``mixing_rates`` and ``mixed`` log.
 
 Defined cases: null and blank texts have no tokens and rate 1, as they cannot change any total; labelled rows with a
 null id or label are ignored; without any labelled row there is one domain ``all`` and the rates only match the budget;
@@ -22,6 +24,8 @@ repeated rows each get their rate; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
+import logging
+import math
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -33,10 +37,11 @@ from pyspark.sql import functions as F
 from .common import fresh, stored
 from .features import SIZE, WORDS, Rows, labelled_sample, places, shrink
 
+LOG = logging.getLogger(__name__)
 MAX_TRAIN = 8_000
 ITERATIONS = 25
-#: The most copies of a document that a mixture may ask for.
-MAX_RATE = 4.0
+#: The most copies of a document that a mixture may ask for, where the caller gives no bound.
+MAX_RATE = math.inf
 #: Share of the mean diagonal added to A D A', against domains that nearly coincide.
 RIDGE = 1e-6
 #: Target shares of tokens: languages of good documents, and little of what labels call low or toxic.
@@ -117,13 +122,9 @@ def posteriors(docs: DataFrame, labelled: DataFrame, max_train: int = MAX_TRAIN)
 
 
 def fit_rates(post: DataFrame, domains: list[str], targets: Mapping[str, float], budget: float | None = None, iterations: int = ITERATIONS, tolerance: float = 1e-4, max_rate: float = MAX_RATE) -> tuple[Column, dict]:
-    """The rate as a column over (n_tokens, posterior), and a report of totals before, after and aimed at."""
+    """The rate as a column over (n_tokens, posterior), and a report: totals before, after and aimed at, what is left, steps taken."""
     place = [domains.index(d) for d in domains if targets.get(d, 0.0) > 0] or list(range(len(domains)))
     total = float(post.agg(F.sum("n_tokens")).first()[0] or 0)
-    share = post.agg(*[F.sum(F.col("n_tokens") * F.get("posterior", F.lit(i))) for i in place]).first()
-    # what even the greatest rate cannot bring to its target is left out, as are domains without a target
-    reach = [i for i, x in zip(place, share) if float(x or 0) * max_rate >= targets.get(domains[i], 0.0) * (budget or total) and float(x or 0) > 0]
-    place = reach or place
     domains = [domains[i] for i in place]
     k = len(domains)
     p = [F.get("posterior", F.lit(i)) for i in place]
@@ -132,30 +133,33 @@ def fit_rates(post: DataFrame, domains: list[str], targets: Mapping[str, float],
     now = np.array([float(x or 0) for x in sums[:k]])
     gram = np.array([float(x or 0) for x in sums[k : k + k * k]]).reshape(k, k)
     aim = np.array([targets.get(d, 0.0) for d in domains]) if any(d in targets for d in domains) else np.ones(k)
-    # tokens of the domains left out stay as they are
+    # tokens of the domains without a target stay as they are
     goal = aim / aim.sum() * now.sum() * ((budget or total) / max(total, 1.0))
     report = {"domains": domains, "before": now.tolist(), "target": goal.tolist()}
     rate = F.lit(1.0)
     if not total:
-        return rate, report | {"after": now.tolist()}
+        return rate, report | {"after": now.tolist(), "residual": (now - goal).tolist(), "iterations": 0}
     metric = np.linalg.inv(gram + RIDGE * np.trace(gram) / k * np.eye(k))
-    after = now
+    after, steps = now, 0
     for _ in range(iterations):
         y = metric @ (after - goal)
         if np.abs(after - goal).max() <= tolerance * total:
             break
+        steps += 1
         step = F.lit(0.0)
         for i in range(k):
             step = step + p[i] * float(y[i])
         rate = F.when(F.col("n_tokens") > 0, F.least(F.greatest(F.lit(0.0), rate - step), F.lit(max_rate))).otherwise(F.lit(1.0))
         after = np.array([float(x or 0) for x in post.agg(*[F.sum(rate * x) for x in a]).first()])
-    return rate, report | {"after": after.tolist()}
+    report |= {"after": after.tolist(), "residual": (after - goal).tolist(), "iterations": steps}
+    LOG.info("mixing: %s", report)
+    return rate, report
 
 
-def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, budget: float | None = None, max_train: int = MAX_TRAIN) -> DataFrame:
+def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, budget: float | None = None, max_train: int = MAX_TRAIN, max_rate: float = MAX_RATE) -> DataFrame:
     """One row per document: doc_id, n_tokens, domain (the likeliest), posterior (by domain), rate."""
     post, domains = posteriors(docs, labelled, max_train)
-    rate, _ = fit_rates(post, domains, targets, budget)
+    rate, _ = fit_rates(post, domains, targets, budget, max_rate=max_rate)
     names = F.array(*[F.lit(d) for d in domains])
     best = F.element_at(names, F.array_position("posterior", F.array_max("posterior")).cast("int"))
     return post.select("doc_id", "n_tokens", best.alias("domain"), F.map_from_arrays(names, "posterior").alias("posterior"), rate.alias("rate"))
@@ -167,13 +171,13 @@ def copies_of(rate: Column, doc_id: Column, seed: int = 17) -> Column:
     return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, budget: float | None = None, max_train: int = MAX_TRAIN) -> DataFrame:
+def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, budget: float | None = None, max_train: int = MAX_TRAIN, max_rate: float = MAX_RATE) -> DataFrame:
     """The documents, each as often as its rate says; columns as they were.
 
     Rows of one doc_id take the greatest number of copies among them.
     """
     post, domains = posteriors(docs, labelled, max_train)
-    rate, _ = fit_rates(post, domains, targets, budget)
+    rate, _ = fit_rates(post, domains, targets, budget, max_rate=max_rate)
     key, times, copy = (fresh(n, docs.columns) for n in ("rated_id", "copies", "copy"))
     per_id = post.select(F.col("doc_id").alias(key), copies_of(rate, F.col("doc_id")).alias(times)).groupBy(key).agg(F.max(times).alias(times))
     joined = docs.join(per_id, F.col("doc_id").eqNullSafe(F.col(key))).filter(F.col(times) > 0)

@@ -382,6 +382,21 @@ def test_mixing(spark, docs, edge, empty, clashing):
     assert mixing.mixing_rates(empty, mixing.labelled_domains(empty, labels)).count() == 0
 
 
+@pytest.mark.parametrize("max_rate", [mixing.MAX_RATE, 4.0])
+def test_scarce_domains(spark, max_rate):
+    """A domain far below its target is pulled to it, or under a bound as near as rates up to the bound bring it."""
+    rows = [(100, [0.98, 0.02])] * 990 + [(100, [0.02, 0.98])] * 10
+    post = spark.createDataFrame(rows, "n_tokens long, posterior array<double>")
+    rate, report = mixing.fit_rates(post, ["a", "b"], {"a": 0.7, "b": 0.3}, max_rate=max_rate)
+    rates = {round(r.posterior[1], 2): r.rate for r in post.select("posterior", rate.alias("rate")).collect()}
+    assert report["domains"] == ["a", "b"] and report["target"] == pytest.approx([70_000, 30_000])
+    assert np.array(report["after"]) - np.array(report["target"]) == pytest.approx(np.array(report["residual"]))
+    if max_rate == 4.0:
+        assert rates[0.98] == pytest.approx(4.0) and report["residual"][1] < 0
+    else:
+        assert rates[0.98] > 4 and np.abs(report["residual"]).max() <= 1e-4 * 100_000
+
+
 def test_copies(spark):
     c = spark.range(4000).select(mixing.copies_of(F.lit(1.25), F.col("id")).alias("c")).groupBy("c").count().collect()
     n = {r.c: r["count"] for r in c}
