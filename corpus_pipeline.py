@@ -20,10 +20,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of SimHash neighbours."""
+    """Keeps the document with the least id of each group of SimHash neighbours and of texts alike in four of five shingles."""
     from pointmill.llm.simhash import one_of_each
 
-    return one_of_each(docs, distance=4, width=4)
+    return one_of_each(docs, distance=4, width=4, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

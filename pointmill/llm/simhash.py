@@ -16,6 +16,12 @@ Inside a cell no list of pairs is made: a union-find over blocks of rows gives t
 joins the same documents as all links. Components over all cells come from alternating star contractions, as joins
 and aggregates whose state is written to the shared folder after each round.
 
+With ``similarity``, documents whose sets of shingles of ``similar_width`` words have a Jaccard similarity of at least
+that much are linked as well, however many bits they differ in. Candidates come from an exact prefix join: of two such
+sets ordered alike, the first n - ceil(similarity * n) + 1 shingles of each share one. Any order is exact; shingles that
+a sample shows to be common come last. Each candidate's similarity is computed from the sets themselves, first against
+the least member of each bucket, then between all members that no link joins yet.
+
 Defined cases: null or empty text has fingerprint zero and is linked like any other; a null doc_id gets its row, and
 the least non-null id of its component; repeated rows each get their row; an empty table gives an empty result; other
 columns are ignored.
@@ -33,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, fresh, stored, words_of
+from .common import drop_stored, fresh, small, stored, words_of
 
 BITS = 64
 SEGMENTS = 32
@@ -41,22 +47,31 @@ SEGMENTS = 32
 CELL_ROWS = 40_000
 #: Comparisons held at once, one byte and some each.
 BLOCK_CELLS = 2_000_000
+#: One in so many texts tells which shingles are common, and the most of them that are held.
+SAMPLE, COMMON = 64, 100_000
 #: Chance that two unrelated fingerprints have equal counts in one segment: (1 + 4 + 1) / 16.
 _EQUAL = 0.375
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """Majority bits over the XXH64 of all shingles, repeats included."""
+def shingles(text: str | None, width: int, seed: int) -> np.ndarray:
+    """XXH64 of all shingles in order, repeats included; a text of fewer words is one shingle."""
     from xxhash import xxh64_intdigest
 
     words = words_of(text)
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
     starts = [0, *(spaces + 1).tolist()]
     ends = [*spaces.tolist(), len(line)][min(width, len(words)) - 1 :]
-    hashes = np.fromiter([xxh64_intdigest(line[a:b], seed) for a, b in zip(starts, ends)], np.uint64, len(ends))
+    return np.fromiter([xxh64_intdigest(line[a:b], seed) for a, b in zip(starts, ends)], np.uint64, len(ends))
+
+
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """Majority bits over the XXH64 of all shingles, repeats included."""
+    hashes = shingles(text, width, seed)
+    if not len(hashes):
+        return 0
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 8192):
         counts += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -260,11 +275,120 @@ def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _set_of(text: str | None, width: int, seed: int) -> tuple[np.ndarray, int]:
+    """The distinct shingles in order of their hashes, and a digest of them."""
+    from xxhash import xxh64_intdigest
+
+    own = np.unique(shingles(text, width, seed))
+    return own, int(np.uint64(xxh64_intdigest(own.tobytes(), seed)).astype(np.int64))
+
+
+def _sets(width: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [_set_of(t.as_py(), width, seed) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array([d for _, d in own], pa.int64()), pa.array([h.view(np.int64) for h, _ in own], pa.list_(pa.int64()))], ["digest", "members"])
+
+    return run
+
+
+def _prefixes(width: int, seed: int, similarity: float, similar_width: int, shared):
+    """Fingerprint, digest and size of the set, and the prefix of the set in the order (sampled count, hash)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, times = shared.value
+        for batch in batches:
+            prints, digests, sizes, prefixes = [], [], [], []
+            for text in batch.column("text"):
+                prints.append(fingerprint(text.as_py(), width, seed))
+                own, digest = _set_of(text.as_py(), similar_width, seed)
+                keep = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 if len(own) else 0
+                if len(common) and len(own):
+                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    own = own[np.lexsort((own, np.where(common[at] == own, times[at], 0)))]
+                digests.append(digest)
+                sizes.append(len(own))
+                prefixes.append(own[:keep].view(np.int64))
+            out = [batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64)), batch.column("text_key"), pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "fp", "text_key", "digest", "n", "prefix"])
+
+    return run
+
+
+def _common_shingles(texts: DataFrame, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a sample of texts have, at most COMMON of them, and in how many."""
+    sample = texts.filter(F.pmod("text_key", F.lit(SAMPLE)) == 0).select("text").distinct()
+    members = sample.mapInArrow(_sets(width, seed), "digest long, members array<long>").select(F.explode("members").alias("h"))
+    rows = members.groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    common, times = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    order = np.argsort(common)
+    return common[order], times[order]
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, keys: DataFrame, similarity: float, width: int, seed: int) -> DataFrame:
+    """The pairs (one, two) of digests whose sets are similar enough, by the sets themselves."""
+    pairs = stored(pairs.distinct(), "candidate-pairs")
+    wanted = pairs.select(F.col("one").alias("digest")).union(pairs.select("two")).distinct().join(keys, "digest").select("text_key")
+    sets = texts.join(wanted, "text_key", "left_semi").select("text").mapInArrow(_sets(width, seed), "digest long, members array<long>")
+    sets = stored(sets.dropDuplicates(["digest"]), "candidate-sets")
+    one, two = sets.select(F.col("digest").alias("one"), F.col("members").alias("a")), sets.select(F.col("digest").alias("two"), F.col("members").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    joined = pairs.join(one, "one").join(two, "two").select("one", "two", both.alias("both"), (F.size("a") + F.size("b")).alias("sum"))
+    return stored(joined.filter(F.col("both") >= similarity * (F.col("sum") - F.col("both")) - 1e-9).select("one", "two"), "similar-pairs")
+
+
+def similar_links(texts: DataFrame, prints: DataFrame, links: DataFrame, similarity: float, width: int = 5, seed: int = 42) -> DataFrame:
+    """The links between fingerprints, with those of documents whose sets of shingles are similar enough."""
+    sets = prints.filter("n > 0").groupBy("digest").agg(F.min("fp").alias("least_fp"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    sets = stored(sets, "shingle-sets")
+    keys = sets.select("digest", "text_key")
+    equal = prints.filter("n > 0").select("digest", "fp").distinct().join(sets.select("digest", "least_fp"), "digest").filter("fp <> least_fp")
+    links = stored(links.unionByName(equal.select(F.col("fp").alias("u"), F.col("least_fp").alias("v"))), "links-so-far")
+    rows = sets.select("digest", "least_fp", "n", F.posexplode("prefix").alias("pos", "h"))
+    several = stored(rows.groupBy("h").agg(F.count("*").alias("times"), F.min("digest").alias("leader")).filter("times > 1"), "shared-shingles")
+    rows = rows.join(small(several, several.count(), 1_000_000), "h").select("h", "leader", "digest", "least_fp", "n", "pos")
+    rows = stored(rows, "shared-prefixes")
+
+    def may(two: str) -> Column:
+        n, n2, pos, pos2 = F.col("n"), F.col(f"{two}n"), F.col("pos"), F.col(f"{two}pos")
+        enough = (n + n2) * (similarity / (1 + similarity)) - 1e-9
+        # what comes after a shared shingle bounds what the sets can share
+        return (F.least(n, n2) >= similarity * F.greatest(n, n2) - 1e-9) & (1 + F.least(n - 1 - pos, n2 - 1 - pos2) >= enough)
+
+    def with_links(found: DataFrame, links: DataFrame) -> DataFrame:
+        fp = sets.select("digest", "least_fp")
+        ends = found.join(fp.toDF("one", "u"), "one").join(fp.toDF("two", "v"), "two")
+        return stored(links.unionByName(ends.select("u", "v")), "links-so-far")
+
+    lead = rows.filter("digest = leader").select("h", F.col("digest").alias("one"), F.col("n").alias("l_n"), F.col("pos").alias("l_pos"))
+    stars = rows.filter("digest <> leader").join(lead, "h").filter(may("l_")).select("one", F.col("digest").alias("two"))
+    links = with_links(_similar(stars, texts, keys, similarity, width, seed), links)
+    # what is joined by now needs no comparison; buckets with one component left have none
+    roots = components(links)
+    rows = rows.join(roots, rows.least_fp == roots.node, "left").withColumn("root", F.coalesce("root", "least_fp")).select("h", "leader", "digest", "root", "n", "pos")
+    rows = stored(rows, "shared-prefixes")
+    mixed = rows.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("h")
+    rows = stored(rows.join(mixed, "h", "left_semi"), "shared-prefixes")
+    other = rows.select("h", *[F.col(c).alias(f"o_{c}") for c in ("digest", "root", "n", "pos")])
+    # pairs with the leader have been compared
+    rest = rows.filter("digest <> leader").join(other, "h").filter(F.col("digest") < F.col("o_digest")).filter((F.col("root") != F.col("o_root")) & may("o_"))
+    return with_links(_similar(rest.select(F.col("digest").alias("one"), F.col("o_digest").alias("two")), texts, keys, similarity, width, seed), links)
+
+
+def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, similar_width: int = 5) -> DataFrame:
     """One row per document: doc_id, fp (signed long), fingerprint (16 hex digits), component_id (least doc_id reachable)."""
-    prints = stored(fingerprints(docs, width, seed, id_col, text_col), "fingerprints")
+    if similarity is None:
+        prints = stored(fingerprints(docs, width, seed, id_col, text_col), "fingerprints")
+    else:
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+        shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(texts, similar_width, seed))
+        prints = texts.mapInArrow(_prefixes(width, seed, similarity, similar_width, shared), "doc_id long, fp long, text_key long, digest long, n int, prefix array<long>")
+        prints = stored(prints, "fingerprints")
     own = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = components(link_forest(own, own.count(), distance))
+    links = link_forest(own, own.count(), distance)
+    if similarity is not None:
+        links = similar_links(texts, prints, links, similarity, similar_width, seed)
+    roots = components(links)
     rooted = own.join(roots, own.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = stored(rooted, "roots")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -272,13 +396,13 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, seed: in
     return prints.join(by_print, "fp").select("doc_id", "fp", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, distance: int = 4, width: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, distance: int = 4, width: int = 4, similarity: float | None = None) -> DataFrame:
     """The documents whose doc_id is their component's least, one row each; columns as they were.
 
     Rows without a doc_id go where their component has a document with one; where it has none, one row of each
     fingerprint stays.
     """
-    found = near_duplicates(docs, distance, width)
+    found = near_duplicates(docs, distance, width, similarity=similarity)
     kept = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("times"))
     kept = stored(kept, "kept-ids")
     out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)

@@ -195,6 +195,36 @@ def test_one_of_each_without_ids(spark):
     assert sorted((tuple(r) for r in kept.collect()), key=repr) == [(5, rows[3][1], 1), (None, rows[0][1], 1)]
 
 
+def plain_near(rows, similarity=0.8, width=5):
+    """Components of 4-bit links and of all pairs of shingle sets at least so similar."""
+    sets, least = [], {}
+    for _, t, *_ in rows:
+        w = [lower(x) for x in WORD.findall(t or "")]
+        sets.append(frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset())
+    comp = plain_components([plain_fingerprint(t) for _, t, *_ in rows])
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and both >= similarity * len(sets[i] | sets[j]) and comp[i] != comp[j]:
+                old, new = comp[i], comp[j]
+                comp = [new if c == old else c for c in comp]
+    for c, (d, *_) in zip(comp, rows):
+        least[c] = min((x for x in (least.get(c), d) if x is not None), default=None)
+    return sorted(((d, least[c]) for c, (d, *_) in zip(comp, rows)), key=repr)
+
+
+@pytest.mark.parametrize("sample", [64, 1])
+def test_similar(spark, monkeypatch, docs, edge, empty, sample):
+    """Near copies beyond the fingerprints' distance, against all pairs by brute force, for any order of shingles."""
+    monkeypatch.setattr(simhash, "SAMPLE", sample)
+    run = lambda df: sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df, similarity=0.8).collect()), key=repr)
+    rows = [tuple(r) for r in docs.collect()]
+    assert run(docs) == plain_near(rows) and {(145, 6), (177, 1)} <= set(run(docs))
+    assert run(edge) == plain_near(EDGE) and run(empty) == []
+    kept = {r.doc_id for r in simhash.one_of_each(docs, similarity=0.8).collect()}
+    assert kept == {c for _, c in plain_near(rows)} and {145, 177}.isdisjoint(kept)
+
+
 # ---- quality rules, URL filters ------------------------------------------------------------------------------------
 
 
