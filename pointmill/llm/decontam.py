@@ -10,7 +10,9 @@ Windows of ``width`` template words are hash-joined with the windows of the benc
 ``min_literals`` words that are no slots. On each alignment (document, item, offset) the slot values that meet must be
 consistent: each value of the item stands for one value of the document, and the reverse. An item leaks into a
 document if the windows of consistent alignments cover at least ``coverage`` of its windows. Items shorter than a
-window are searched as a whole, by windows of their own length, down to ``min_literals`` words.
+window are searched as a whole, by windows of their own length, down to ``min_literals`` words. Items of which no window
+has enough literals (arithmetic, lists of numbers and names) are searched as they stand: all their words, values included,
+in a row, which counts as one window of one. Only items below EDITED_WIDTH words are not searched: ``unsearched`` gives them.
 
 With ``edited``, edited copies are searched besides, without slots: windows of
 EDITED_WIDTH lower-cased words are joined, and the item's words that they cover are counted in a band of offsets as wide
@@ -140,6 +142,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_literal
     totals = totals.withColumnRenamed("item_id", "t_item")
     joined = covered.join(F.broadcast(totals) if totals.count() <= BROADCAST_WINDOWS else totals, F.col("item_id").eqNullSafe(F.col("t_item")))
     out = joined.filter(F.col("windows") >= coverage * F.col("item_windows")).select("doc_id", "item_id", "windows", "item_windows", "n_slots")
+    bare = benchmark.select(F.col("item_id"), F.col("text"), template_words(F.col("text")).alias("t"))
+    bare = bare.join(totals.select("t_item"), F.col("item_id").eqNullSafe(F.col("t_item")), "left_anti")
+    bare = stored(bare.select("item_id", plain_words(F.col("text")).alias("w"), F.size(F.filter("t", lambda x: x.startswith("\x01"))).cast("long").alias("n_slots")).filter(F.size("w") >= EDITED_WIDTH), "bare-items")
+    if bare.limit(1).count():
+        whole = _plain_alignments(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), bare).filter(F.size("at") == F.col("n_words") - (EDITED_WIDTH - 1))
+        slots = bare.groupBy(F.col("item_id").alias("s_item")).agg(F.max("n_slots").alias("n_slots"))
+        whole = whole.select("doc_id", "item_id").distinct().join(slots, F.col("item_id").eqNullSafe(F.col("s_item")))
+        out = out.unionByName(whole.select("doc_id", "item_id", F.lit(1).cast("long").alias("windows"), F.lit(1).cast("long").alias("item_windows"), "n_slots"))
     if edited:
         out = stored(out, "template-leaks")
         known = out.select(F.col("doc_id").alias("t_doc"), F.col("item_id").alias("t_item"))
@@ -174,6 +184,12 @@ def _plain_alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "item_id", "n_words", "offset").agg(F.array_sort(F.collect_set("ipos")).alias("at"))
 
 
+def unsearched(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item_id, n_words) of the items that are too short to be searched at all."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.size(plain_words(F.col(text_col))).alias("n_words"))
+    return items.filter(F.col("n_words") < EDITED_WIDTH)
+
+
 def _longest_run(at: Column) -> Column:
     """The most consecutive numbers in a sorted array."""
 

@@ -294,6 +294,18 @@ def test_leaks(spark, empty):
     assert decontam.clean(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_leaks_without_literals(spark):
+    """Items of few literal words leak where they stand with their own values; what cannot be searched is told."""
+    many = "Add 1 and 2 and 3 then 4 5 6 7 8 and 9 10 11 12 13 14 15 16 17 18"
+    items = [(1, "What is 12 times 7?"), (2, "Compute 3 + 4 * 5 - 6 / 2"), (3, many), (4, "too short"), (5, None), (None, "Is 5 more than 3?")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "He asked: what is 12 times 7? Nobody knew."), (2, "Now compute 3 + 4 * 5 - 6 / 2 by hand"), (3, f"Here: {many}."), (4, "is 5 more than 3?"),
+            (5, "what is 13 times 7"), (6, "compute 3 + 4 * 5 - 6 / 3"), (7, many.replace("10", "99")), (8, "too short"), (9, "12 times 7 what is"), (None, "what is 12 times 7")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()} == {(1, 1), (2, 2), (3, 3), (4, None), (None, 1)}
+    assert {r.item_id for r in decontam.unsearched(bench).collect()} == {4, 5}
+
+
 def test_edited_leaks(spark):
     """Shouted, lower-cased and title-case copies, 5 % edited ones and a short excerpt are removed from the corpus."""
     rng = np.random.default_rng(2)
