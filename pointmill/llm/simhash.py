@@ -36,7 +36,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_stored, fresh, small, stored, words_of
@@ -339,14 +339,16 @@ def _similar(pairs: DataFrame, texts: DataFrame, keys: DataFrame, similarity: fl
 
 def similar_links(texts: DataFrame, prints: DataFrame, links: DataFrame, similarity: float, width: int = 5, seed: int = 42) -> DataFrame:
     """The links between fingerprints, with those of documents whose sets of shingles are similar enough."""
-    sets = prints.filter("n > 0").groupBy("digest").agg(F.min("fp").alias("least_fp"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    sets = stored(sets, "shingle-sets")
+    filled = prints.filter("n > 0")
+    sets = filled.groupBy("digest").agg(F.min(F.struct("row", "fp", "text_key")).alias("x"))
+    sets = stored(sets.select("digest", "x.row", F.col("x.fp").alias("own_fp"), "x.text_key"), "shingle-sets")
     keys = sets.select("digest", "text_key")
-    equal = prints.filter("n > 0").select("digest", "fp").distinct().join(sets.select("digest", "least_fp"), "digest").filter("fp <> least_fp")
-    links = stored(links.unionByName(equal.select(F.col("fp").alias("u"), F.col("least_fp").alias("v"))), "links-so-far")
-    rows = sets.select("digest", "least_fp", "n", F.posexplode("prefix").alias("pos", "h"))
-    several = stored(rows.groupBy("h").agg(F.count("*").alias("times"), F.min("digest").alias("leader")).filter("times > 1"), "shared-shingles")
-    rows = rows.join(small(several, several.count(), 1_000_000), "h").select("h", "leader", "digest", "least_fp", "n", "pos")
+    equal = filled.select("digest", "fp").distinct().join(sets.select("digest", "own_fp"), "digest").filter("fp <> own_fp")
+    links = stored(links.unionByName(equal.select(F.col("fp").alias("u"), F.col("own_fp").alias("v"))), "links-so-far")
+    # one row for each set; the only shuffle of all prefixes finds those that several sets share
+    rows = filled.join(small(sets.select("row"), sets.count(), 1_000_000), "row", "left_semi").select("digest", "n", F.posexplode("prefix").alias("pos", "h"))
+    bucket = Window.partitionBy("h")
+    rows = rows.withColumns({"times": F.count("*").over(bucket), "leader": F.min("digest").over(bucket)}).filter("times > 1").drop("times")
     rows = stored(rows, "shared-prefixes")
 
     def may(two: str) -> Column:
@@ -356,7 +358,7 @@ def similar_links(texts: DataFrame, prints: DataFrame, links: DataFrame, similar
         return (F.least(n, n2) >= similarity * F.greatest(n, n2) - 1e-9) & (1 + F.least(n - 1 - pos, n2 - 1 - pos2) >= enough)
 
     def with_links(found: DataFrame, links: DataFrame) -> DataFrame:
-        fp = sets.select("digest", "least_fp")
+        fp = sets.select("digest", "own_fp")
         ends = found.join(fp.toDF("one", "u"), "one").join(fp.toDF("two", "v"), "two")
         return stored(links.unionByName(ends.select("u", "v")), "links-so-far")
 
@@ -365,8 +367,8 @@ def similar_links(texts: DataFrame, prints: DataFrame, links: DataFrame, similar
     links = with_links(_similar(stars, texts, keys, similarity, width, seed), links)
     # what is joined by now needs no comparison; buckets with one component left have none
     roots = components(links)
-    rows = rows.join(roots, rows.least_fp == roots.node, "left").withColumn("root", F.coalesce("root", "least_fp")).select("h", "leader", "digest", "root", "n", "pos")
-    rows = stored(rows, "shared-prefixes")
+    by_set = sets.join(roots, sets.own_fp == roots.node, "left").select("digest", F.coalesce("root", "own_fp").alias("root"))
+    rows = stored(rows.join(by_set, "digest").select("h", "leader", "digest", "root", "n", "pos"), "shared-prefixes")
     mixed = rows.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("h")
     rows = stored(rows.join(mixed, "h", "left_semi"), "shared-prefixes")
     other = rows.select("h", *[F.col(c).alias(f"o_{c}") for c in ("digest", "root", "n", "pos")])
@@ -383,7 +385,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4, seed: in
         texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
         shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(texts, similar_width, seed))
         prints = texts.mapInArrow(_prefixes(width, seed, similarity, similar_width, shared), "doc_id long, fp long, text_key long, digest long, n int, prefix array<long>")
-        prints = stored(prints, "fingerprints")
+        prints = stored(prints.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     own = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     links = link_forest(own, own.count(), distance)
     if similarity is not None:
