@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,9 +73,16 @@ def fold(doc_id: Column | str, parts: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % parts
 
 
+def sliced(batches: Iterator, rows: int = 500) -> Iterator:
+    """The batches in slices of a few rows, so what is made of long texts is handed on early."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, as UTF-8 bytes (bytes.split and bytes.lower know ASCII alone)."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-__all__ = ["StorageLevel", "drop_path", "drop_stored", "fold", "fresh", "new_path", "shared_dir", "small", "stored", "table", "words_of"]
+__all__ = ["StorageLevel", "drop_path", "drop_stored", "fold", "fresh", "new_path", "shared_dir", "sliced", "small", "stored", "table", "words_of"]

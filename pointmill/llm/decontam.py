@@ -34,10 +34,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored
+from .common import fresh, small, stored
 from .quality_rules import let
 
 BROADCAST_WINDOWS = 200_000
+LEAKED_KEYS = 1_000_000
 WIDTH, MIN_LITERALS, COVERAGE = 8, 5, 0.5
 EDITED_WIDTH, EDITED_COVERAGE, EDITED_WORDS, EDITED_RUN = 4, 0.5, 8, 13
 #: The narrowest band of offsets, in words.
@@ -216,14 +217,12 @@ def edited_leaks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without leaks; columns as they were."""
-    key = fresh("leaked_id", docs.columns)
-    found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias(key)).distinct()
-    found = stored(found, "leaked-ids")
-    # a few in a hundred documents leak; the list is broadcast while it is at most a million ids (8 MB)
-    if found.limit(1_000_001).count() <= 1_000_000:
-        found = F.broadcast(found)
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti").select(*docs.columns)
+    """The documents without leaks; columns as they were. Texts are judged, by a key of each, so rows that share an id or have none go only with their own text."""
+    key, leaked = fresh("text_key", docs.columns), fresh("leaked_key", docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    found = stored(leaks(keyed, benchmark, id_col=key, **options).select(F.col("doc_id").alias(leaked)).distinct(), "leaked-keys")
+    # a few in a hundred documents leak; the list is broadcast while it is at most LEAKED_KEYS (8 bytes each)
+    return keyed.join(small(found, found.count(), LEAKED_KEYS), F.col(key) == F.col(leaked), "left_anti").select(*docs.columns)
 
 
 def _canon_sql(column: str) -> str:
