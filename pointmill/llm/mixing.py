@@ -9,17 +9,17 @@ Nonnegative document rates r minimise
 from r = 1 by projected gradients scaled by each document's tokens: r <- clip(r - D A' M (A r - T)) to 0 .. ``max_rate``, D = 1 / tokens,
 so a rate depends on what a document is and not on how long it is. M is the inverse of A D A' (a K by K matrix, so one
 aggregate gives it), which makes the step length 1 exact while no rate is cut at zero; further iterations settle those
-that are. Each iteration is one aggregate of K sums over the documents' stored posteriors; a rate is a chain of K-term
-expressions of a document's own row, so no iteration writes or shuffles documents.
+that are. Each iteration is one pass over the documents' stored posteriors that folds the steps so far into each
+document's rate and gives K sums, so no iteration writes or shuffles documents, and the plan keeps one size.
 
 Every domain with a target is in the fit. Rates have no bound unless the caller gives one (``max_rate``); under a bound,
 a domain out of reach gets as near to its target as the least squares bring it. Domains without a target are left out:
 the others share their own tokens in the targets' proportions. ``fit_rates`` reports totals, targets and residuals by
-domain, which ``mixing_rates`` and ``mixed`` log.
+domain and whether they are met, which ``mixing_rates`` and ``mixed`` log (as a warning where they are not).
 
 Defined cases: null and blank texts have no tokens and rate 1, as they cannot change any total; labelled rows with a
 null id or label are ignored; without any labelled row there is one domain ``all`` and the rates only match the budget;
-repeated rows each get their rate; an empty table gives an empty result; other columns are ignored.
+repeated rows each get their rate; of domains with equal posteriors the first by name is the likeliest; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stored
+from .common import stored
 from .features import SIZE, WORDS, Rows, labelled_sample, places, shrink
 
 LOG = logging.getLogger(__name__)
@@ -100,16 +100,19 @@ def fit(sample: list[tuple[str, np.ndarray]], l1: float = 4e-4, rate: float = 0.
     return DomainModel(domains, w, bias)
 
 
-def _posteriors(shared):
+def _posteriors(shared, text: str):
+    """All columns of a row, its tokens and its posterior."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             sizes, post = [], []
-            for text in batch.column("text"):
-                at, n = places(text.as_py())
+            for t in batch.column(text):
+                at, n = places(t.as_py())
                 sizes.append(n)
                 post.append(model.posterior(at))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(post, pa.list_(pa.float64()))], ["doc_id", "n_tokens", "posterior"])
+            names = [name for name in batch.schema.names if name != "dropped_text"]
+            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(sizes, pa.int64()), pa.array(post, pa.list_(pa.float64()))], [*names, "n_tokens", "posterior"])
 
     return run
 
@@ -118,7 +121,38 @@ def posteriors(docs: DataFrame, labelled: DataFrame, max_train: int = MAX_TRAIN)
     """(doc_id, n_tokens, posterior) of every document, stored; and the domains in the posterior's order."""
     model = fit(labelled_sample(docs, labelled, max_train))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return stored(docs.select("doc_id", "text").mapInArrow(_posteriors(shared), "doc_id long, n_tokens long, posterior array<double>"), "posteriors"), model.domains
+    rows = docs.select("doc_id", F.col("text").alias("dropped_text"))
+    return stored(rows.mapInArrow(_posteriors(shared, "dropped_text"), "doc_id long, n_tokens long, posterior array<double>"), "posteriors"), model.domains
+
+
+def _totals(steps: np.ndarray, place: list[int], max_rate: float):
+    """Tokens of each domain at the rates that the steps so far give: one row of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(place))
+        for batch in batches:
+            n = np.asarray(batch.column("n_tokens")).astype(np.float64)
+            p = np.asarray(batch.column("posterior").flatten()).reshape(len(n), -1)[:, place] if len(n) else np.zeros((0, len(place)))
+            rate = np.ones(len(n))
+            for y in steps:
+                rate = np.clip(rate - p @ y, 0.0, max_rate)
+            total += (rate * n) @ p
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], [f"t{k}" for k in range(len(place))])
+
+    return run
+
+
+def rate_column(steps: np.ndarray, place: list[int], max_rate: float) -> Column:
+    """The rate over (n_tokens, posterior): the steps are one literal that is folded, so the plan is as large for many as for few."""
+    if not len(steps):
+        return F.lit(1.0)
+    own = F.array(*[F.get("posterior", F.lit(i)) for i in place])
+    folded = F.aggregate(
+        F.lit(steps.tolist()),
+        F.lit(1.0),
+        lambda rate, y: F.least(F.greatest(F.lit(0.0), rate - F.aggregate(F.zip_with(own, y, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)), F.lit(max_rate)),
+    )
+    return F.when(F.col("n_tokens") > 0, folded).otherwise(F.lit(1.0))
 
 
 def fit_rates(post: DataFrame, domains: list[str], targets: Mapping[str, float], budget: float | None = None, iterations: int = ITERATIONS, tolerance: float = 1e-4, max_rate: float = MAX_RATE) -> tuple[Column, dict]:
@@ -136,24 +170,18 @@ def fit_rates(post: DataFrame, domains: list[str], targets: Mapping[str, float],
     # tokens of the domains without a target stay as they are
     goal = aim / aim.sum() * now.sum() * ((budget or total) / max(total, 1.0))
     report = {"domains": domains, "before": now.tolist(), "target": goal.tolist()}
-    rate = F.lit(1.0)
     if not total:
-        return rate, report | {"after": now.tolist(), "residual": (now - goal).tolist(), "iterations": 0}
+        return F.lit(1.0), report | {"after": now.tolist(), "residual": (now - goal).tolist(), "iterations": 0, "met": True}
     metric = np.linalg.inv(gram + RIDGE * np.trace(gram) / k * np.eye(k))
-    after, steps = now, 0
-    for _ in range(iterations):
-        y = metric @ (after - goal)
-        if np.abs(after - goal).max() <= tolerance * total:
-            break
-        steps += 1
-        step = F.lit(0.0)
-        for i in range(k):
-            step = step + p[i] * float(y[i])
-        rate = F.when(F.col("n_tokens") > 0, F.least(F.greatest(F.lit(0.0), rate - step), F.lit(max_rate))).otherwise(F.lit(1.0))
-        after = np.array([float(x or 0) for x in post.agg(*[F.sum(rate * x) for x in a]).first()])
-    report |= {"after": after.tolist(), "residual": (after - goal).tolist(), "iterations": steps}
-    LOG.info("mixing: %s", report)
-    return rate, report
+    after, steps = now, np.zeros((0, k))
+    schema = ", ".join(f"t{i} double" for i in range(k))
+    while not (met := bool(np.abs(after - goal).max() <= tolerance * total)) and len(steps) < iterations:
+        steps = np.vstack((steps, metric @ (after - goal)))
+        row = post.select("n_tokens", "posterior").mapInArrow(_totals(steps, place, max_rate), schema).agg(*[F.sum(f"t{i}") for i in range(k)]).first()
+        after = np.array([float(x or 0) for x in row])
+    report |= {"after": after.tolist(), "residual": (after - goal).tolist(), "iterations": len(steps), "met": met}
+    (LOG.info if met else LOG.warning)("mixing: %s", report)
+    return rate_column(steps, place, max_rate), report
 
 
 def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, budget: float | None = None, max_train: int = MAX_TRAIN, max_rate: float = MAX_RATE) -> DataFrame:
@@ -162,7 +190,9 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, flo
     rate, _ = fit_rates(post, domains, targets, budget, max_rate=max_rate)
     names = F.array(*[F.lit(d) for d in domains])
     best = F.element_at(names, F.array_position("posterior", F.array_max("posterior")).cast("int"))
-    return post.select("doc_id", "n_tokens", best.alias("domain"), F.map_from_arrays(names, "posterior").alias("posterior"), rate.alias("rate"))
+    # a column of its own first: below, posterior is the name of the map
+    rated = post.withColumn("rate", rate)
+    return rated.select("doc_id", "n_tokens", best.alias("domain"), F.map_from_arrays(names, "posterior").alias("posterior"), "rate")
 
 
 def copies_of(rate: Column, doc_id: Column, seed: int = 17) -> Column:
@@ -174,11 +204,15 @@ def copies_of(rate: Column, doc_id: Column, seed: int = 17) -> Column:
 def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, budget: float | None = None, max_train: int = MAX_TRAIN, max_rate: float = MAX_RATE) -> DataFrame:
     """The documents, each as often as its rate says; columns as they were.
 
-    Rows of one doc_id take the greatest number of copies among them.
+    The documents are stored with their posteriors, so no row is looked up by its id and no text is shuffled.
     """
-    post, domains = posteriors(docs, labelled, max_train)
-    rate, _ = fit_rates(post, domains, targets, budget, max_rate=max_rate)
-    key, times, copy = (fresh(n, docs.columns) for n in ("rated_id", "copies", "copy"))
-    per_id = post.select(F.col("doc_id").alias(key), copies_of(rate, F.col("doc_id")).alias(times)).groupBy(key).agg(F.max(times).alias(times))
-    joined = docs.join(per_id, F.col("doc_id").eqNullSafe(F.col(key))).filter(F.col(times) > 0)
-    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    model = fit(labelled_sample(docs, labelled, max_train))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
+    at = {c: n for c, n in zip(docs.columns, names)}
+    post = stored(plain.mapInArrow(_posteriors(shared, at["text"]), f"{schema}, n_tokens long, posterior array<double>"), "posteriors")
+    rate, _ = fit_rates(post, model.domains, targets, budget, max_rate=max_rate)
+    rows = post.withColumn("copies", copies_of(rate, F.col(at["doc_id"]))).filter("copies > 0")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(n).alias(c) for c, n in at.items()])
