@@ -16,14 +16,14 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces in each of two generations that a Python worker remembers (about 110 MB each). A full one becomes the older
+#: Pieces in each of two generations that a Python worker remembers (about 75 MB each). A full one becomes the older
 #: one, of which what is met again moves on to the new one.
-MAX_PIECES = 450_000
+MAX_PIECES = 300_000
 #: Bytes of text encoded together.
-TEXT_ROOM = 2_000_000
-#: A space inside a run of white space that is not the run's last character.
-_INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
+TEXT_ROOM = 3_000_000
 #: White space but for the space and the line end, as any library may know it.
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _TAIL = ".,;:!?&%$*#|"
@@ -117,63 +117,93 @@ class PieceEncoder:
             known[p] = b"".join([m[k] + self.tails[t] if t else m[k] for m, k, t in made])
         known.update(zip(rest, self._library([" " + p for p in rest])))
 
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces that follow a space; what is new is learnt."""
+        values = list(map(self.known.get, pieces))
+        missing = [p for p, v in zip(pieces, values) if v is None]
+        if not missing:
+            return values
+        # the many small objects made here are no garbage; looking for cycles among them takes most of the time
+        collects = gc.isenabled()
+        gc.disable()
+        if len(self.known) + len(missing) > self.max_pieces:
+            self.older, self.known = self.known, {}
+            self.lines.clear()
+            self.tails.clear()
+        older = self.older
+        again = [p for p in missing if p in older]
+        self.known.update((p, older[p]) for p in again)
+        self._learn([p for p in missing if p not in older])
+        if collects:
+            gc.enable()
+        known = self.known
+        return [known[p] if v is None else v for p, v in zip(pieces, values)]
+
+    def _entries(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Distinct id lists, which of them make up the texts in order, and how many of them each text has."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not self.splits:
+            return self._library(texts.to_pylist()), np.arange(len(texts)), np.ones(len(texts), np.int64)
+        pieces = pc.split_pattern(texts, " ")
+        coded = pieces.flatten().dictionary_encode()
+        at = np.asarray(coded.indices)
+        sizes = np.asarray(pc.list_value_length(pieces)).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        # a space with white space before it and after it (or the end) is inside a run: such texts are left whole
+        blank = np.asarray(pc.equal(pc.binary_length(coded.dictionary), 0))
+        starts_so, ends_so = (blank | np.asarray(pc.utf8_is_space(pc.utf8_slice_codeunits(coded.dictionary, a, b))) for a, b in ((0, 1), (-1, None)))
+        inner = np.zeros(len(at), bool)
+        inner[1:] = ends_so[at[:-1]] & starts_so[at[1:]]
+        inner[starts] = (sizes > 1) & blank[at[starts]]
+        whole = np.add.reduceat(inner, starts) > 0 if len(starts) else np.zeros(0, bool)
+        rest = np.repeat(~whole, sizes)
+        rest[starts] = False
+        seen = np.zeros(len(blank), bool)
+        seen[at[rest]] = True
+        used = np.flatnonzero(seen)
+        place = np.cumsum(seen, dtype=np.int32) - 1
+        # the first piece of a text follows no space; of a whole text it stands for all of it
+        heads = pc.if_else(pa.array(whole), texts, coded.dictionary.take(pa.array(at[starts]))).to_pylist()
+        entries = self._look_up(coded.dictionary.take(pa.array(used)).to_pylist()) + self._library(heads)
+        entry = place[at]
+        entry[starts] = len(used) + np.arange(len(starts), dtype=np.int32)
+        keep = rest.copy()
+        keep[starts] = True
+        return entries, entry[keep], np.where(whole, 1, sizes)
+
+    def count_column(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text."""
+        entries, entry, sizes = self._entries(texts)
+        if not len(sizes):
+            return np.zeros(0, np.int64)
+        lengths = np.array([len(x) // 4 for x in entries], np.int64)
+        return np.add.reduceat(lengths[entry], np.cumsum(sizes) - sizes)
+
+    def encode_column(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, pa.Array]:
+        """The number of ids of each text, with ``end_id`` after each if given; and all ids in a row."""
+        entries, entry, sizes = self._entries(texts)
+        if not len(sizes):
+            return np.zeros(0, np.int64), pa.array([], pa.int32())
+        if end_id is not None:
+            entry = np.insert(entry, np.cumsum(sizes), len(entries))
+            entries, sizes = [*entries, np.array([end_id], "<u4").tobytes()], sizes + 1
+        lengths = np.array([len(x) // 4 for x in entries], np.int64)
+        offsets = np.concatenate(([0], np.cumsum(lengths)))
+        values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(entries))])
+        lists = pa.LargeListArray.from_arrays(pa.array(offsets), values)
+        return np.add.reduceat(lengths[entry], np.cumsum(sizes) - sizes), lists.take(pa.array(entry)).flatten()
+
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """For each text, its ids as little-endian unsigned 32-bit integers. What is new is learnt once for all of them."""
-        out: list[bytes] = [b""] * len(texts)
-        whole, cut, firsts, flat = [], [], [], []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if not self.splits or text[0] == " " or _INNER_SPACE.search(text):
-                whole.append(i)
-                continue
-            pieces = text.split(" ")
-            firsts.append(pieces[0])
-            del pieces[0]
-            cut.append((i, len(pieces)))
-            flat += pieces
-        for i, ids in zip(whole, self._library([texts[i] for i in whole])):
-            out[i] = ids
-        values = list(map(self.known.get, flat))
-        new = _places_of_none(values)
-        if new:
-            # the many small objects made here are no garbage; looking for cycles among them takes most of the time
-            collects = gc.isenabled()
-            gc.disable()
-            missing = {flat[i] for i in new}
-            if len(self.known) + len(missing) > self.max_pieces:
-                self.older, self.known = self.known, {}
-                self.lines.clear()
-                self.tails.clear()
-            older = self.older
-            again = [p for p in missing if p in older]
-            self.known.update((p, older[p]) for p in again)
-            self._learn(list(missing.difference(again)))
-            if collects:
-                gc.enable()
-            known = self.known
-            for i in new:
-                values[i] = known[flat[i]]
-        at = 0
-        for (i, n), first in zip(cut, self._library(firsts)):
-            out[i] = first + b"".join(values[at : at + n])
-            at += n
-        return out
+        sizes, values = self.encode_column(pa.array(texts, pa.string()))
+        raw = np.asarray(values).astype("<u4").tobytes()
+        ends = (4 * np.cumsum(sizes)).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
 
 
-def _places_of_none(values: list) -> list[int]:
-    out, at = [], -1
-    try:
-        while True:
-            at = values.index(None, at + 1)
-            out.append(at)
-    except ValueError:
-        return out
-
-
 def slices(sizes: list[int], room: int) -> list[tuple[int, int]]:
     """Runs of consecutive rows of about ``room`` in size, one row at least."""
     out, start, total = [], 0, 0
@@ -187,8 +217,6 @@ def slices(sizes: list[int], room: int) -> list[tuple[int, int]]:
 
 def text_sizes(column) -> list[int]:
     """Bytes of each text of an Arrow column."""
-    import pyarrow.compute as pc
-
     return pc.fill_null(pc.binary_length(column), 0).to_pylist()
 
 

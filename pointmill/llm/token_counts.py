@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import drop_path, new_path
+from .common import drop_path, new_path, stored
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
@@ -36,14 +36,14 @@ def _encoder(tokenizer_json: str, version: str):
         for batch in batches:
             counts = []
             for a, b in bpe.slices(bpe.text_sizes(batch.column("content")), bpe.TEXT_ROOM):
-                counts += [len(x) // 4 for x in encoder.encode_many(batch.column("content").slice(a, b - a).to_pylist())]
+                counts += encoder.count_column(batch.column("content").slice(a, b - a)).tolist()
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(counts), pa.string()), batch.column("digest").cast(pa.binary()), pa.array(counts, pa.int64())], ["tokenizer", "digest", "n_tokens"])
 
     return encode
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_bytes, n_tokens, over_limit (n_tokens > limit), cached (its count was stored before).
+    """One row per document: id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     ``cache_path`` is kept and grows; without it the cache is a new table of the shared folder.
     """
@@ -59,7 +59,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     if before is not None:
         misses = misses.join(before.select("digest"), "digest", "left_anti")
     misses.mapInArrow(_encoder(tokenizer_json, version), CACHE_SCHEMA).write.mode("append").parquet(path)
-    counts = _read_cache(spark, path, version)
+    # a table of its own, so the join below has two plain sides and adaptive execution can split the digest of many copies
+    counts = stored(_read_cache(spark, path, version), "token-counts")
     out = keyed.select("doc_id", "digest", F.octet_length("content").cast("long").alias("n_bytes")).join(counts, "digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

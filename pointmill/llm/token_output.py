@@ -5,8 +5,8 @@ holds (part, doc_id, at, n_tokens, ids): ``part`` is the file's place in the ord
 document in its file. A reader may take any stripe alone; a search by doc_id skips stripes and row groups by their minimum and
 maximum, and by their Bloom filters. ``token_spans`` adds each file's tokens before it, from one row per file.
 
-Defined cases: null text is an empty text, and gives the end id alone; null ids come first; repeated rows are
-written each; an empty table gives an empty result; other columns are ignored.
+Defined cases: null text is an empty text, and gives the end id alone; null ids come first; rows that share an id
+are in the order of a digest of their texts; repeated rows are written each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import small
 
+#: Rows, one a file, that may be broadcast.
+BROADCAST_FILES = 500_000
+#: Bytes of text for a file at most, on average, where the caller gives no number of files.
+FILE_BYTES = 256 << 20
 SCHEMA = "part int, doc_id long, at long, n_tokens int, ids array<int>"
 
 
@@ -30,18 +35,14 @@ def _writer(tokenizer_json: str, end_id: int):
 
         part, at = TaskContext.get().partitionId(), 0
         encoder = bpe.shared_encoder(tokenizer_json)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts, ids = batch.column("text"), batch.column("doc_id").cast(pa.int64())
             for a, b in bpe.slices(bpe.text_sizes(texts), bpe.TEXT_ROOM):
-                buffers = [x + end for x in encoder.encode_many(texts.slice(a, b - a).to_pylist())]
-                sizes = [len(x) // 4 for x in buffers]
+                sizes, values = encoder.encode_column(texts.slice(a, b - a), end_id)
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                total = int(offsets[-1])
-                values = pa.Array.from_buffers(pa.int32(), total, [None, pa.py_buffer(b"".join(buffers))])
                 lists = pa.ListArray.from_arrays(pa.array(offsets), values)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part, np.int32)), ids.slice(a, b - a), pa.array(offsets[:-1].astype(np.int64) + at), pa.array(np.diff(offsets)), lists], ["part", "doc_id", "at", "n_tokens", "ids"])
-                at += total
+                at += int(offsets[-1])
 
     return write
 
@@ -50,9 +51,12 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     """Encodes every whole text and writes ORC files in ascending order of the id."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_key").asc()]
     if files is None:
-        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+        total = rows.agg(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0.0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // FILE_BYTES) + 1)
+    # the digest orders rows that share an id, and lets many of them go to several files; equal rows are alike in any order
+    ordered = rows.withColumn("text_key", F.xxhash64("text")).repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "text")
     (
         ordered.mapInArrow(_writer(bpe.load(tokenizer_path), end_id), SCHEMA)
         .write.option("compression", "zstd")
@@ -91,4 +95,4 @@ def token_spans(spark: SparkSession, path: str) -> DataFrame:
     files = read_token_ids(spark, path).groupBy("part").agg(F.max(F.col("at") + F.col("n_tokens")).alias("size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long").alias("base"))
-    return each.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return each.join(small(bases, bases.count(), BROADCAST_FILES), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
