@@ -3,7 +3,7 @@
 Features are the 1- to ``ORDERS``-grams of code points (A-Z and a-z alike), hashed to 2^BITS places: relative
 frequency in the whole text times the inverse document frequency over all training documents. Weights come from
 follow-the-regularised-leader (FTRL-proximal) with L1 and L2 penalties over a bounded sample of labelled documents
-(``max_train``, shared out evenly among languages); a part of the sample is held back to fit the temperature that
+(``max_train``, shared out evenly among languages), in about STEPS steps whatever its size; a part of the sample is held back to fit the temperature that
 calibrates probabilities. Document frequencies cover every training document.
 
 The sample's features reach the driver as sparse counts, at most ``max_train`` rows of at most 2^BITS entries; the
@@ -11,12 +11,11 @@ document frequencies as one array per partition, summed in steps. Texts never do
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 (``und`` also where nothing was learnt);
 documents with a null doc_id or null lang are not trained on; a null doc_id is in no fold, so held_out is false;
-repeated rows are predicted each; an empty table gives an empty result; other columns are ignored.
+repeated rows are predicted each; of languages with equal scores the first by name is predicted; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,13 +31,15 @@ MAX_TRAIN = 4_000
 FOLDS = 5
 #: Code points hashed at once.
 _CHUNK = 3_000_000
-_LETTER = re.compile(r"[^\W\d_]")
+#: Steps of the regression, at every size of the sample.
+STEPS = 12_000
 # Odd multipliers of the n-gram hash.
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """A code point of the categories L; superscripts, fractions and Roman numerals are none."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def _code_points(text: str) -> np.ndarray:
@@ -140,7 +141,7 @@ class LanguageModel:
     temperature: float
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 1e-3, passes: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 1e-3, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """FTRL-proximal per coordinate and class over (places, values, class); the last coordinate is the bias."""
     bias = 1 << BITS
     z, n = np.zeros((bias + 1, classes), np.float32), np.zeros((bias + 1, classes), np.float32)
@@ -152,6 +153,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha: fl
         return np.where(np.abs(zi) <= penalty[at], 0, -(zi - np.sign(zi) * penalty[at]) / ((beta + np.sqrt(n[at])) / alpha + l2)).astype(np.float32)
 
     rng = np.random.default_rng(11)
+    passes = max(1, round(steps / max(1, len(rows))))
     for _ in range(passes):
         for k in rng.permutation(len(rows)).tolist():
             places, values, y = rows[k]
@@ -197,8 +199,7 @@ def fit(training: DataFrame, max_train: int = MAX_TRAIN) -> LanguageModel:
     scale = np.float32(1 / np.mean([np.linalg.norm(v) for _, v, _ in made]))
     made = [(places, values * scale, y) for places, values, y in made]
     held = [k for k in range(len(made)) if k % 5 == 4]
-    # small samples are passed over more often
-    w, bias = ftrl([made[k] for k in range(len(made)) if k % 5 != 4], len(langs), passes=min(30, max(3, 8_000 // len(made))))
+    w, bias = ftrl([made[k] for k in range(len(made)) if k % 5 != 4], len(langs))
     logits = np.array([made[k][1] @ w[made[k][0]] + bias for k in held]).reshape(len(held), len(langs))
     return LanguageModel(langs, (w * (scale * idf)[:, None]).astype(np.float32), bias, fit_temperature(logits, np.array([made[k][2] for k in held], np.int64)))
 
