@@ -61,7 +61,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filters import page_outcomes, url_filter
 
     judged = url_filter(table(spark, sf_dir, "pages"), page_outcomes(table(spark, sf_dir, "labels")))
-    return judged.select("page_id", "host", "path", "rule", "verdict")
+    return judged.select("page_id", "host", "path", "rule", "verdict", "bad_mean", "bad_low")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small, stored
+
 BROADCAST_HOSTS = 200_000
 #: The share of bad pages before any outcome, worth two pages.
 PRIOR_BAD = 0.1
@@ -91,9 +93,9 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     ``outcomes`` has every host, null outcomes included, so each host gets its row.
     """
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
-    domains = hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    hosts = stored(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}), "hosts")
+    domains = stored(hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
+    suffixes = stored(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "suffixes")
     # one row: the share over all pages
     whole = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 2 * PRIOR_BAD) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("p_all"))
     suffixes = _shrunk(suffixes.crossJoin(F.broadcast(whole)), "p_all", "p_suffix").select("suffix", "p_suffix")
@@ -112,9 +114,8 @@ def url_filter(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, s
     seen = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     outcomes = labels.filter("page_id IS NOT NULL AND bad IS NOT NULL").groupBy("page_id").agg(F.max("bad").alias("bad"))
     reputation = host_reputation(seen.select("page_id", "host").join(outcomes, "page_id", "left").select("host", "bad"))
-    reputation = reputation.select("host", "mean", "sd")
-    if seen.select("host").distinct().limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        reputation = F.broadcast(reputation)
+    reputation = stored(reputation.select("host", "mean", "sd"), "reputation")
+    reputation = small(reputation, reputation.count(), BROADCAST_HOSTS)
     low = F.greatest(F.lit(0.0), F.col("mean") - z * F.col("sd"))
     rule = matched_rule(F.col("host"), F.col("path"), rules)
     said = F.lit(None).cast("string")
@@ -174,6 +175,6 @@ ruled AS (
   FROM seen JOIN bounds USING (host))
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-            WHEN bad_low > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+            WHEN bad_low > 0.5 THEN 'block' ELSE 'allow' END AS verdict, bad_mean, bad_low
 FROM ruled
 """
