@@ -27,9 +27,11 @@ import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,6 +97,11 @@ class Vocabulary:
     mass: np.ndarray  # log10 of each tail class's smoothed mass
     head: int  # tokens of the head, the first of the known ones
 
+    @cached_property
+    def words(self) -> pa.Array:
+        """The known tokens by their places."""
+        return pa.array(list(self.known), pa.binary())
+
     @property
     def base_log_total(self) -> float:
         return math.log10(self.total + 0.1 * (self.distinct + 1))
@@ -269,7 +276,7 @@ class Tokens:
 
 
 def encode(texts: list[str | None], v: Vocabulary) -> Tokens:
-    get, places, tails, sizes, rare = v.known.get, [], [], [], []
+    places, tails, sizes, rare = [], [], [], []
     classes = v.classes if len(v.classes) else np.zeros(1, np.int64)
     for a, b in slices([len(t or "") for t in texts], ENCODE_BYTES):
         words: list[bytes] = []
@@ -279,7 +286,7 @@ def encode(texts: list[str | None], v: Vocabulary) -> Tokens:
             w.append(END)
             words += w
             own.append(len(w))
-        place = np.array([get(w, -1) for w in words], np.int32)
+        place = np.asarray(pc.fill_null(pc.index_in(pa.array(words, pa.binary()), value_set=v.words), -1))
         tail = classes[np.maximum(place, 0)].astype(np.int16)
         unknown = np.flatnonzero(place < 0)
         strange = [words[i] for i in unknown.tolist()]
