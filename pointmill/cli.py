@@ -17,6 +17,12 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--deep", action="store_true")
     a = sub.add_parser("doctor")
     a.add_argument("target")
+    a.add_argument("--origin", default="https://example.com")
+    a.add_argument("--timeout", type=float, default=30.0)
+    a = sub.add_parser("serve")
+    a.add_argument("root", nargs="?", default=".")
+    a.add_argument("-p", "--port", type=int, default=8080)
+    a.add_argument("--host", default="127.0.0.1")
     a = sub.add_parser("convert")
     a.add_argument("inputs", nargs="+")
     a.add_argument("-o", "--out", required=True)
@@ -25,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--leaf", type=int, default=50_000)
     a.add_argument("--scale", type=float, nargs=3)
     a.add_argument("--force", action="store_true")
+    a.add_argument("--memory", type=int, default=1024, help="MiB of records beyond which the build goes by chunks")
     a = sub.add_parser("optimize")
     a.add_argument("input")
     a.add_argument("-o", "--out", required=True)
@@ -48,10 +55,10 @@ def run(spark, args: argparse.Namespace) -> tuple[dict, int]:
         info, levels = commands.inspect(spark, args.target, args.deep)
         return info.first().asDict(True) | ({"levels": [r.asDict() for r in levels.orderBy("level").collect()]} if levels is not None else {}), 0
     if args.command == "doctor":
-        found, code = commands.doctor(spark, args.target)
+        found, code = commands.doctor(spark, args.target, args.origin, args.timeout)
         return {"findings": [{"level": r.level, "code": r.code} for r in found.collect()]}, code
     if args.command == "convert":
-        return commands.convert(spark, args.inputs, args.out, args.format, args.span, args.leaf, args.scale, args.force), 0
+        return commands.convert(spark, args.inputs, args.out, args.format, args.span, args.leaf, args.scale, args.force, args.memory << 20), 0
     if args.command == "optimize":
         drop = tuple(n for n in args.drop.split(",") if n)
         return potree.optimize(spark, args.input, args.out, args.encoding, drop).first().asDict(), 0
@@ -63,6 +70,11 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     args = parser().parse_args(argv)
+    if args.command == "serve":
+        from pointmill.sources import serve
+
+        serve.server(args.root, host=args.host, port=args.port).serve_forever()
+        return 0
     spark = SparkSession.builder.appName("pointmill").getOrCreate()
     try:
         report, code = run(spark, args)

@@ -32,7 +32,7 @@ def shape_findings(clouds: DataFrame, key: Sequence[str]) -> DataFrame:
         finding("fail", "empty-hierarchy", empty),
         finding("warn", "point-count", (c("declared") > 0) & (c("declared") != c("points"))),
         finding("pass", "point-count", (c("declared") > 0) & (c("declared") == c("points"))),
-        finding("warn", "small-nodes", average < SMALL_NODE),
+        finding("warn", "small-nodes", (c("data_bytes") > 0) & (average < SMALL_NODE)),
         finding("warn", "large-nodes", average > LARGE_NODE),
         finding("pass", "node-size", average.between(SMALL_NODE, LARGE_NODE)),
         finding("warn", "hierarchy-requests", ~empty & (c("index_reads") > MAX_INDEX_READS)),
@@ -42,7 +42,7 @@ def shape_findings(clouds: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def transport_findings(probes: DataFrame, key: Sequence[str], origin: str) -> DataFrame:
-    """From (status, body_length, encoding, allow_origin, expose, preflight, cache) of a server's answers."""
+    """From (status, body_length, encoding, allow_origin, expose, preflight, cache) of a server's answers; without a status it was not reached."""
     c = F.col
     cors = F.coalesce(c("allow_origin").isin("*", origin), F.lit(False))
     exposed = F.lower(F.coalesce("expose", F.lit("")))
@@ -62,7 +62,8 @@ def transport_findings(probes: DataFrame, key: Sequence[str], origin: str) -> Da
         finding("warn", "cache", cache.contains("no-store") | cache.contains("no-cache")),
         finding("pass", "latency", F.lit(True)),
     ]
-    return _rows(probes, key, rules)
+    reached = c("status").isNotNull()
+    return _rows(probes, key, [finding("fail", "unreachable", ~reached), *[F.when(reached, r) for r in rules]])
 
 
 def exit_codes(findings: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 from pointmill.functions import geometry as g
 from pointmill.functions import records as r
 from pointmill.operators import diagnose, hierarchy, lod
-from pointmill.sources import copc, e57, ept, files, las, potree, tiles
+from pointmill.sources import copc, e57, ept, files, http, las, potree, tiles
 
 MANIFESTS = {"metadata.json": "potree", "ept.json": "ept", "tileset.json": "3dtiles"}
 FORMATS = {"potree": ("potree", "DEFAULT"), "potree-v2": ("potree", "DEFAULT"), "potree-brotli": ("potree", "BROTLI"), "ept": ("ept", "binary"), "ept-binary": ("ept", "binary"), "ept-zstandard": ("ept", "zstandard"), "3dtiles": ("3dtiles", ""), "3d-tiles": ("3dtiles", ""), "tileset": ("3dtiles", "")}
 
 
+#: Bytes of records beyond which a conversion builds in chunks, and bytes of a record.
+MEMORY, RECORD_BYTES = 1 << 30, 36
+
+
 def sniff(path: str) -> tuple[str, str]:
     """(format, place) by a named manifest, then the extension, then the manifests that a folder may have."""
     name = path.rsplit("/", 1)[-1]
@@ -62,24 +66,73 @@ def inspect(spark: SparkSession, path: str, deep: bool = False) -> tuple[DataFra
             row = (kind, m["asset"]["version"], None, None, None, None, None, None)
         else:
             scans, crs = e57.open_scans(at)
-            row = (kind, "1.0", sum(s.records for s in scans), None, None, None, None, crs or None)
+            low, high = e57.declared_extent(scans) or (None, None)
+            row = (kind, "1.0", sum(s.records for s in scans), low, high, [1.0] * 3, [0.0] * 3, crs or None)
         info = spark.createDataFrame([row], "format string, version string, point_count long, low array<double>, high array<double>, scale array<double>, offset array<double>, crs string")
     nodes = nodes_of(spark, path) if deep else None
     return info, hierarchy.by_level(nodes) if nodes is not None else None
 
 
-def doctor(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """Findings about a cloud, and the exit code of the worst."""
+def warnings_of(path: str) -> tuple[list[tuple[str, str]], int]:
+    """(code, path) of what the readers of a cloud warn of, and the number of reads of its index."""
+    kind, at = sniff(path)
+    if kind == "potree":
+        m, warned = potree.manifest_of(at)
+        _, more = potree.read_hierarchy(files.read_all(files.join(at, "hierarchy.bin")), m["hierarchy"]["firstChunkSize"])
+        return warned + more, 1
+    if kind in ("ept", "copc"):
+        return (ept if kind == "ept" else copc).warnings_of(at)
+    if kind == "3dtiles":
+        return tiles.walk(at)[1], 1
+    if kind == "e57":
+        return e57.warnings_of(at), 1
+    h = las.open_header(at)
+    las.extra_dimensions(h)
+    return [(c, p) for c, p, _ in h.warnings], 1
+
+
+def payload_of(path: str) -> str:
+    """The file whose delivery matters: the points' own, not the manifest."""
+    kind, at = sniff(path)
+    if kind == "potree":
+        return files.join(at, "octree.bin")
+    if kind == "ept":
+        end = {"binary": "bin", "zstandard": "zst", "laszip": "laz"}.get(ept.manifest_of(at).get("dataType"), "bin")
+        return files.join(at, f"ept-data/0-0-0-0.{end}")
+    if kind == "3dtiles":
+        first = next((r[1] for r in tiles.walk(at)[0] if r[1]), "tileset.json")
+        return files.join(at, first)
+    return at
+
+
+def doctor(spark: SparkSession, path: str, origin: str = "https://example.com", timeout: float = 30.0) -> tuple[DataFrame, int]:
+    """Findings about a cloud, and the exit code of the worst; of a URL, also about how its server answers."""
+    if http.is_url(path):
+        try:
+            payload = payload_of(path)
+        except (OSError, ValueError):
+            payload = path
+        transport = diagnose.transport_findings(http.probe(spark, [payload], origin, timeout).withColumn("cloud", F.lit(path)), ["cloud"], origin)
+        if transport.filter("code = 'unreachable'").count():
+            return transport, 1
+    else:
+        transport = None
     info, _ = inspect(spark, path)
     facts = info.first()
     nodes = nodes_of(spark, path)
     if nodes is not None:
-        n = nodes.agg(F.count("*").alias("nodes"), F.coalesce(F.sum("point_count"), F.lit(0)).alias("points")).first()
+        size = F.sum("byte_size") if "byte_size" in nodes.columns else F.lit(None).cast("long")
+        n = nodes.agg(F.count("*").alias("nodes"), F.coalesce(F.sum("point_count"), F.lit(0)).alias("points"), size.alias("bytes")).first()
+    warned, reads = warnings_of(path)
     shape = spark.createDataFrame(
-        [(path, facts.format, facts.crs, n["nodes"] if nodes is not None else None, n["points"] if nodes is not None else facts.point_count, facts.point_count, (n["points"] * 36) if nodes is not None else None, 1)],
+        [(path, facts.format, facts.crs, n["nodes"] if nodes is not None else None, n["points"] if nodes is not None else facts.point_count, facts.point_count, n["bytes"] if nodes is not None else None, reads)],
         "cloud string, format string, crs string, nodes long, points long, declared long, data_bytes long, index_reads int",
     )
     found = diagnose.shape_findings(shape, ["cloud"])
+    if warned:
+        found = found.unionByName(spark.createDataFrame([(path, "warn", "manifest")] * len(warned), "cloud string, level string, code string"))
+    if transport is not None:
+        found = found.unionByName(transport)
     return found, diagnose.exit_codes(found, ["cloud"]).first()["exit_code"]
 
 
@@ -116,8 +169,20 @@ def merged(spark: SparkSession, inputs: Sequence[str]) -> tuple[DataFrame, list[
     return cloud, scale, first, [("mixed-crs", p) for p, c in declared if c != first]
 
 
-def convert(spark: SparkSession, inputs: Sequence[str], out: str, fmt: str = "potree", span: int = lod.SPAN, leaf: int = lod.LEAF_POINTS, scale: Sequence[float] | None = None, force: bool = False) -> dict:
-    """Builds and writes a cloud; the report has points, nodes, extent, scale, offset and warnings."""
+def input_starts(last: dict[int, int], n: int) -> list[int]:
+    """Where each of ``n`` inputs starts among all, from the greatest sequence number of those with points."""
+    out, at = [], 0
+    for k in range(n):
+        out.append(at)
+        at += last[k] + 1 if k in last else 0
+    return out
+
+
+def convert(spark: SparkSession, inputs: Sequence[str], out: str, fmt: str = "potree", span: int = lod.SPAN, leaf: int = lod.LEAF_POINTS, scale: Sequence[float] | None = None, force: bool = False, memory: int = MEMORY) -> dict:
+    """Builds and writes a cloud; the report has points, nodes, extent, scale, offset and warnings.
+
+    Clouds whose records are over ``memory`` bytes are built in chunks.
+    """
     kind, encoding = FORMATS[fmt]
     if not force and any(files.exists(files.join(out, m)) for m in MANIFESTS):
         raise FileExistsError(out)
@@ -134,8 +199,15 @@ def convert(spark: SparkSession, inputs: Sequence[str], out: str, fmt: str = "po
     offset = box[0]
     q = cloud.withColumns({a: r.quantize(F.col(f"p{a}"), F.lit(s), F.lit(o)) for a, s, o in zip("xyz", quanta, offset)})
     q = q.withColumns({f"p{a}": r.dequantize(F.col(a), F.lit(s), F.lit(o)) for a, s, o in zip("xyz", quanta, offset)})
-    built = lod.stored(lod.build(q, ["input", "seq"], span, leaf), "built")
-    built = built.withColumn("ord", F.col("input").cast("long") * (1 << 56) + F.col("seq"))
+    total = q.count()
+    if lod.is_chunked(total, RECORD_BYTES, memory):
+        tree = lod.build_chunked(q, ["input", "seq"], lod.chunk_level(total, RECORD_BYTES, memory), span, leaf)
+    else:
+        tree = lod.build(q, ["input", "seq"], span, leaf)
+    built = lod.stored(tree, "built")
+    # one row an input: where its sequence numbers start among all
+    last = {row[0]: row[1] for row in built.groupBy("input").agg(F.max("seq")).collect()}
+    built = built.withColumn("ord", F.get(F.lit(input_starts(last, len(inputs))).cast("array<long>"), F.col("input")) + F.col("seq"))
     box = lod.extent(built)
     cube = (box[0], max(b - a for a, b in zip(*box)))
     if kind == "potree":
@@ -146,6 +218,12 @@ def convert(spark: SparkSession, inputs: Sequence[str], out: str, fmt: str = "po
         tiles.write(built, out, cube, span)
         lost = [c for c in ("intensity", "classification", "gps_time") if built.filter(F.col(c).isNotNull()).limit(1).count()]
         warned += [("column-dropped", c) for c in lost]
+    for p in inputs:
+        of = sniff(p)[0]
+        if of == "las" and (h := las.open_header(p)).record_bytes > las.RECORD_BYTES[h.point_format]:
+            warned.append(("extra-bytes-dropped", p))
+        if of == "e57" and e57.dropped(spark, p):
+            warned.append(("e57-invalid-points", p))
     if kind != "3dtiles" and built.filter("nir IS NOT NULL").limit(1).count():
         warned.append(("column-dropped", "nir"))
     n = lod.node_table(built).agg(F.count("*"), F.sum("point_count"), F.max("level")).first()

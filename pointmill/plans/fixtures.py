@@ -110,22 +110,39 @@ nodes AS (
   FROM (SELECT level, {shrunk}, n FROM leaves, (SELECT unnest(range(0, {levels}))::BIGINT AS level)) GROUP BY ALL)"""
 
 
-def lod_sql(span: int, leaf: int, depth: int, source: str = "q") -> str:
-    """CTEs up to ``built`` (o1.., level, kx, ky, kz): the level-of-detail build as a recursion; the WITH needs RECURSIVE."""
+_WALKED = "o1, o2, o3, o4, o5, px, py, pz, lx, ly, lz, edge"
+
+
+def walk_sql(name: str, seed: str, span: int, leaf: int, depth: int) -> str:
+    """A recursive CTE over the points of ``seed``, which have a node: each level keeps a node's points or passes them on."""
     step = "(edge / pow(2.0, level))"
     low = {a: f"(l{a} + {step} * k{a})" for a in AXES}
     cell = ", ".join(
         f"CASE WHEN {step} > 0 THEN least(greatest(floor((p{a} - {low[a]}) / ({step} / {span})), 0), {span - 1})::BIGINT ELSE 0 END AS c{a}" for a in AXES
     )
     child = ", ".join(f"k{a} * 2 + CASE WHEN p{a} >= ({low[a]} + ({low[a]} + {step})) * 0.5 THEN 1 ELSE 0 END AS k{a}" for a in AXES)
-    cols = "o1, o2, o3, o4, o5, px, py, pz, lx, ly, lz, edge"
-    decide = f"""SELECT {cols}, level, kx, ky, kz,
+    decide = f"""SELECT {_WALKED}, level, kx, ky, kz,
            count(*) OVER (PARTITION BY kx, ky, kz) <= {leaf} OR level >= {depth}
            OR row_number() OVER (PARTITION BY kx, ky, kz, cx, cy, cz ORDER BY o1, o2, o3, o4, o5) = 1 AS keep"""
-    return f"""{QUANTIZED_SQL},
-seed AS (SELECT {cols}, 0::BIGINT AS level, 0::BIGINT AS kx, 0::BIGINT AS ky, 0::BIGINT AS kz FROM {source}, box),
-walk AS (
-  {decide} FROM (SELECT *, {cell} FROM seed)
+    return f"""{name} AS (
+  {decide} FROM (SELECT *, {cell} FROM {seed})
   UNION ALL
-  {decide} FROM (SELECT *, {cell} FROM (SELECT {cols}, level + 1 AS level, kx, ky, kz FROM (SELECT {cols}, level, {child} FROM walk WHERE NOT keep)))),
+  {decide} FROM (SELECT *, {cell} FROM (SELECT {_WALKED}, level + 1 AS level, kx, ky, kz FROM (SELECT {_WALKED}, level, {child} FROM {name} WHERE NOT keep))))"""
+
+
+def lod_sql(span: int, leaf: int, depth: int, source: str = "q") -> str:
+    """CTEs up to ``built`` (o1.., level, kx, ky, kz): the level-of-detail build as a recursion; the WITH needs RECURSIVE."""
+    return f"""{QUANTIZED_SQL},
+seed AS (SELECT {_WALKED}, 0::BIGINT AS level, 0::BIGINT AS kx, 0::BIGINT AS ky, 0::BIGINT AS kz FROM {source}, box),
+{walk_sql("walk", "seed", span, leaf, depth)},
 built AS (SELECT o1, o2, o3, o4, o5, px, py, pz, level, kx, ky, kz FROM walk WHERE keep)"""
+
+
+def chunked_sql(level: int, span: int, leaf: int, depth: int) -> str:
+    """The same for a build by the cells of a level: what the cells' roots keep walks once more from the top."""
+    return f"""{keyed_sql(level)},
+cell_seed AS (SELECT {_WALKED}, {level}::BIGINT AS level, kx, ky, kz FROM keyed),
+{walk_sql("cells", "cell_seed", span, leaf, depth)},
+top_seed AS (SELECT {_WALKED}, 0::BIGINT AS level, 0::BIGINT AS kx, 0::BIGINT AS ky, 0::BIGINT AS kz FROM cells WHERE keep AND level = {level}),
+{walk_sql("top", "top_seed", span, leaf, level)},
+built AS (SELECT * FROM cells WHERE keep AND level > {level} UNION ALL SELECT * FROM top WHERE keep)"""

@@ -168,6 +168,35 @@ def decode_packet(raw: bytes, fields: list[Field]) -> dict[str, np.ndarray]:
 _FIELDS = ("cartesianX", "cartesianY", "cartesianZ", "sphericalRange", "sphericalAzimuth", "sphericalElevation", "intensity", "colorRed", "colorGreen", "colorBlue", "cartesianInvalidState", "sphericalInvalidState")
 
 
+def rotation(q: tuple[float, ...]) -> np.ndarray:
+    """The matrix of a unit quaternion (w, x, y, z)."""
+    w, v = q[0], np.array(q[1:4])
+    cross = np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]])
+    return (w * w - v @ v) * np.eye(3) + 2 * np.outer(v, v) + 2 * w * cross
+
+
+def declared_extent(scans: list[Scan]) -> tuple[list[float], list[float]] | None:
+    """The box of all scans' declared boxes, each turned and moved by its pose corner by corner; None if none is declared."""
+    corners = []
+    for s in scans:
+        if s.bounds is not None:
+            box = np.array(s.bounds)
+            picks = np.array(np.meshgrid([0, 1], [0, 1], [0, 1])).reshape(3, -1)
+            corners.append(box[picks, np.arange(3)[:, None]].T @ rotation(s.pose[:4]).T + s.pose[4:])
+    if not corners:
+        return None
+    every = np.concatenate(corners)
+    return every.min(axis=0).tolist(), every.max(axis=0).tolist()
+
+
+def measure(spark: SparkSession, path: str) -> tuple[list[float], list[float], int]:
+    """Low and high corner and number of the points that have a position, from one pass over them."""
+    row = read_points(spark, path).agg(*[f(f"p{a}").alias(f"{n}{a}") for n, f in (("lo", F.min), ("hi", F.max)) for a in "xyz"], F.count("*").alias("n")).first()
+    if not row["n"]:
+        raise ValueError(f"{path}: no point has a position")
+    return [row[f"lo{a}"] for a in "xyz"], [row[f"hi{a}"] for a in "xyz"], row["n"]
+
+
 def raw_points(spark: SparkSession, path: str) -> DataFrame:
     """(scan, packet, row) and the fields that a scan has, as doubles, decoded by tasks over ranges of packets."""
     scans, _ = open_scans(path)
@@ -233,6 +262,8 @@ def warnings_of(path: str) -> list[tuple[str, str]]:
             out.append(("e57-bounds-posed", str(k)))
         if "sphericalRange" in names and "cartesianX" not in names:
             out.append(("e57-spherical", str(k)))
+    if declared_extent(scans) is None:
+        out.append(("e57-extent-unknown", path))
     if len(scans) > 65535:
         out.append(("e57-scans-overflow", str(len(scans))))
     return out

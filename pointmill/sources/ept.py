@@ -63,6 +63,14 @@ def hierarchy_pages(counts: dict[Key, int], entries: int = PAGE_ENTRIES) -> dict
     return pages
 
 
+def srs_of(crs: str | None) -> dict:
+    """``EPSG:n`` as authority and code, other text as WKT."""
+    authority, _, code = (crs or "").partition(":")
+    if authority.isalpha() and code.isdigit():
+        return {"authority": authority.upper(), "horizontal": code}
+    return {"wkt": crs} if crs else {}
+
+
 def dimensions_for(colour: bool, gps: bool):
     return [d for d in DIMENSIONS if (d[4] not in _FILL or colour) and (d[4] != "gps_time" or gps)]
 
@@ -95,7 +103,7 @@ def write(built: DataFrame, folder: str, scale, offset, cube: tuple[list[float],
     schema = [{"name": n, "type": t, "size": s} | ({"scale": scale[at[n]], "offset": offset[at[n]]} if n in at else {}) for n, t, s, _, _ in dims]
     manifest = {
         "version": "1.0.0", "bounds": [*cube[0], *(v + cube[1] for v in cube[0])], "boundsConforming": [*extent[0], *extent[1]], "dataType": encoding, "hierarchyType": "json",
-        "points": sum(counts.values()), "span": span, "srs": {"wkt": wkt} if wkt else {}, "schema": schema,
+        "points": sum(counts.values()), "span": span, "srs": srs_of(wkt), "schema": schema,
     }
     files.write_all(files.join(folder, "ept.json"), json.dumps(manifest).encode())
     return manifest
@@ -118,6 +126,20 @@ def crs_of(manifest: dict) -> str | None:
     return None
 
 
+def warnings_of(folder: str) -> tuple[list[tuple[str, str]], int]:
+    """Warnings of the manifest and the hierarchy, and the number of pages read."""
+    kind = manifest_of(folder).get("hierarchyType", "json")
+    out, pages, reads = [("hierarchy-type", kind)] if kind != "json" else [], deque(["0-0-0-0"]), 0
+    while pages:
+        reads += 1
+        for name, n in json.loads(files.read_all(files.join(folder, f"ept-hierarchy/{pages.popleft()}.json"))).items():
+            if key_of(name) is None:
+                out.append(("hierarchy-key", name))
+            elif n == -1:
+                pages.append(name)
+    return out, reads
+
+
 def nodes_of(spark: SparkSession, folder: str) -> DataFrame:
     """(level, x, y, z, point_count): each round reads the pages that the last one named, as rows."""
     out, pages = None, ["0-0-0-0"]

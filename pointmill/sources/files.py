@@ -1,9 +1,11 @@
-"""Ranged reads and whole writes in any store that Arrow's file systems reach, from the driver or a task."""
+"""Ranged reads and whole writes in any store that Arrow's file systems reach, and ranged reads of URLs, from the driver or a task."""
 
 from __future__ import annotations
 
 from pyarrow import fs
 
+from . import http
+
 
 def open_store(path: str) -> tuple[fs.FileSystem, str]:
     if "://" in path or path.startswith("file:"):
@@ -12,6 +14,8 @@ def open_store(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def size_of(path: str) -> int:
+    if http.is_url(path):
+        return http.size_of(path)
     store, p = open_store(path)
     info = store.get_file_info(p)
     if info.type != fs.FileType.File:
@@ -20,12 +24,16 @@ def size_of(path: str) -> int:
 
 
 def exists(path: str) -> bool:
+    if http.is_url(path):
+        return http.exists(path)
     store, p = open_store(path)
     return store.get_file_info(p).type == fs.FileType.File
 
 
 def read_range(path: str, start: int, length: int) -> bytes:
     """Exactly ``length`` bytes; fewer are an error."""
+    if http.is_url(path):
+        return http.read_range(path, start, length) if length else b""
     store, p = open_store(path)
     with store.open_input_file(p) as f:
         f.seek(start)

@@ -1,7 +1,4 @@
-"""Ranged reads over HTTP for driver-side inspection, and probes of how a server answers.
-
-Not a source of cluster reads: tasks read from stores that Arrow's file systems reach.
-"""
+"""Ranged reads over HTTP, and probes of how a server answers."""
 
 from __future__ import annotations
 
@@ -13,7 +10,11 @@ from urllib.parse import urlsplit, urlunsplit
 from pyspark.sql import DataFrame, SparkSession
 
 PROBE_BYTES = 16
-PROBE_SCHEMA = "url string, status int, body_length int, encoding string, allow_origin string, expose string, preflight int, cache string, seconds double"
+PROBE_SCHEMA = "url string, status int, body_length int, encoding string, allow_origin string, expose string, preflight int, cache string, seconds double, error string"
+
+
+def is_url(path: str) -> bool:
+    return path.startswith(("http://", "https://"))
 
 
 def split_target(url: str) -> tuple[str, str]:
@@ -48,18 +49,28 @@ def size_of(url: str, timeout: float = 30.0, ask=_ask) -> int:
     """The size that the answer to a one-byte range states."""
     status, headers, _ = ask(url, "GET", {"Range": "bytes=0-0", "Accept-Encoding": "identity"}, timeout)
     total = (headers.get("Content-Range") or "").rpartition("/")[2]
+    if status == 404:
+        raise FileNotFoundError(url)
     if status != 206 or not total.isdigit():
         raise OSError(f"{url}: no size ({status})")
     return int(total)
 
 
+def exists(url: str, timeout: float = 30.0, ask=_ask) -> bool:
+    return ask(url, "HEAD", {}, timeout)[0] == 200
+
+
 def probe(spark: SparkSession, urls: list[str], origin: str = "https://example.com", timeout: float = 30.0, ask=_ask) -> DataFrame:
-    """One row per url: how it answers a range from another origin, and a preflight."""
+    """One row per url: how it answers a range from another origin, and a preflight; only an error if it cannot be reached."""
     rows = []
     for url in urls:
         start = time.monotonic()
-        status, h, body = ask(url, "GET", {"Range": f"bytes=0-{PROBE_BYTES - 1}", "Origin": origin}, timeout)
+        try:
+            status, h, body = ask(url, "GET", {"Range": f"bytes=0-{PROBE_BYTES - 1}", "Origin": origin}, timeout)
+        except OSError as e:
+            rows.append((url, None, None, None, None, None, None, None, time.monotonic() - start, str(e)))
+            continue
         took = time.monotonic() - start
         preflight, _, _ = ask(url, "OPTIONS", {"Origin": origin, "Access-Control-Request-Method": "GET", "Access-Control-Request-Headers": "range"}, timeout)
-        rows.append((url, status, len(body), h.get("Content-Encoding"), h.get("Access-Control-Allow-Origin"), h.get("Access-Control-Expose-Headers"), preflight, h.get("Cache-Control"), took))
+        rows.append((url, status, len(body), h.get("Content-Encoding"), h.get("Access-Control-Allow-Origin"), h.get("Access-Control-Expose-Headers"), preflight, h.get("Cache-Control"), took, None))
     return spark.createDataFrame(rows, PROBE_SCHEMA)

@@ -6,6 +6,7 @@ Compressed (LAZ) point data is recognised and refused; headers, variable records
 from __future__ import annotations
 
 import struct
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -143,6 +144,8 @@ def extra_dimensions(h: Header) -> list[Extra]:
         if at + size > h.record_bytes:
             h.warnings.append(("extra-bytes-mismatch", name, "past the end of the record"))
             break
+        if any(e.name == name for e in out):
+            h.warnings.append(("duplicate-attribute-name", name, "several dimensions have this name"))
         out.append(Extra(name, dtype, n, at, size, description))
         at += size
     return out
@@ -157,8 +160,8 @@ def projection(h: Header) -> str | None:
         if v.user == "LASF_Projection" and v.record == 34735 and len(v.data) >= 8:
             keys = np.frombuffer(v.data[8 : 8 + 8 * struct.unpack_from("<H", v.data, 6)[0]], "<u2").reshape(-1, 4)
             codes = {int(k): int(value) for k, where, _, value in keys if where == 0}
-            # the projected system's code first, then the geographic one; user-defined and zero are none
-            for key in (3072, 2048):
+            # the model (1 projected, 2 geographic) says which code counts; without one the projected system's comes first
+            for key in {1: (3072,), 2: (2048,)}.get(codes.get(1024), (3072, 2048)):
                 if codes.get(key, 0) not in (0, 32767):
                     return f"EPSG:{codes[key]}"
     return None
@@ -316,8 +319,10 @@ def read_points(spark: SparkSession, paths: list[str], rows_per_partition: int =
     return spark.read.format("las").option("rowsPerPartition", rows_per_partition).load(",".join(paths))
 
 
-def write_header(points: int, kind: int, record_bytes: int, scale, offset, low, high, by_return: list[int], vlrs: list[Vlr] = (), evlr_offset: int = 0, n_evlrs: int = 0, compressed: bool = False, day: int = 1, year: int = 2024, has_wkt: bool = False) -> bytes:
-    """A version 1.4 header with its variable records; the old counts are zero."""
+def write_header(points: int, kind: int, record_bytes: int, scale, offset, low, high, by_return: list[int], vlrs: list[Vlr] = (), evlr_offset: int = 0, n_evlrs: int = 0, compressed: bool = False, day: int | None = None, year: int | None = None, has_wkt: bool = False) -> bytes:
+    """A version 1.4 header with its variable records; the old counts are zero, the date is today's (UTC) if not given."""
+    today = time.gmtime()
+    day, year = day or today.tm_yday, year or today.tm_year
     body = b"".join(write_vlr(v) for v in vlrs)
     h = bytearray(375)
     h[:4] = b"LASF"

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointmill.functions.geometry import WGS84_A, WGS84_B
+
 from . import files
 from .potree import Key, parent_of, with_ancestors
 
@@ -121,6 +123,36 @@ def tileset(counts: dict[Key, int], low: list[float], edge: float, span: int) ->
 
 
 IDENTITY = np.eye(4)
+#: Kinds of content by the extension of its name.
+KINDS = {"pnts": "pnts", "glb": "gltf", "gltf": "gltf", "json": "tileset", "b3dm": "mesh", "i3dm": "mesh", "cmpt": "mesh"}
+
+
+def content_kind(uri: str) -> str:
+    name = uri.split("?")[0].split("#")[0].rsplit("/", 1)[-1]
+    return KINDS.get(name.rpartition(".")[2].lower(), "unknown") if "." in name else "unknown"
+
+
+def volume_box(volume: dict, m: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Low and high corner of a bounding volume under a transform; a region is on the ellipsoid whatever the transform."""
+    if len(b := volume.get("box", ())) >= 12:
+        center, axes = (m @ [*b[:3], 1.0])[:3], m[:3, :3] @ np.array(b[3:12], float).reshape(3, 3).T
+        half = np.abs(axes).sum(axis=1)
+        return center - half, center + half
+    if len(s := volume.get("sphere", ())) >= 4:
+        center, radius = (m @ [*s[:3], 1.0])[:3], s[3] * np.linalg.norm(m[:3, :3], axis=0).max()
+        return center - radius, center + radius
+    if len(r := volume.get("region", ())) >= 6:
+        west, south, east, north, *heights = map(float, r[:6])
+        east += 2 * np.pi if east < west else 0.0
+        quarters = np.arange(-4, 9) * np.pi / 2
+        lons = np.concatenate(([west, east], quarters[(quarters >= west) & (quarters <= east)]))
+        lats = np.array([south, north, *([0.0] if south <= 0 <= north else [])])
+        lon, lat, h = (x.ravel() for x in np.meshgrid(lons, lats, heights))
+        squeeze = (WGS84_B / WGS84_A) ** 2
+        n = WGS84_A / np.sqrt(1 - (1 - squeeze) * np.sin(lat) ** 2)
+        p = np.stack([(n + h) * np.cos(lat) * np.cos(lon), (n + h) * np.cos(lat) * np.sin(lon), (n * squeeze + h) * np.sin(lat)], axis=1)
+        return p.min(axis=0), p.max(axis=0)
+    return None
 
 
 def _matrix(tile: dict) -> np.ndarray:
@@ -128,7 +160,7 @@ def _matrix(tile: dict) -> np.ndarray:
 
 
 def walk(folder: str, name: str = "tileset.json") -> tuple[list[tuple], list[tuple[str, str]]]:
-    """(depth, uri, x, y, z of the composed centre, geometric error) of every tile, external tilesets and implicit
+    """(depth, uri, x, y, z of the composed centre, geometric error, corners, kind of content) of every tile, external tilesets and implicit
     subtrees included; and warnings. A document met twice is not walked again."""
     rows, warned, seen = [], [], set()
 
@@ -151,13 +183,14 @@ def walk(folder: str, name: str = "tileset.json") -> tuple[list[tuple], list[tup
         while queue:
             tile, level, m = queue.popleft()
             uri = (tile.get("content") or {}).get("uri") or (tile.get("content") or {}).get("url")
-            center = m @ np.array([*(tile.get("boundingVolume", {}).get("box") or [0, 0, 0])[:3], 1.0])
-            rows.append((level, uri and base + uri, *map(float, center[:3]), float(tile.get("geometricError", 0))))
+            box = volume_box(tile.get("boundingVolume", {}), m)
+            center = np.zeros(3) if box is None else (box[0] + box[1]) / 2
+            rows.append((level, uri and base + uri, *map(float, center), float(tile.get("geometricError", 0)), *([None] * 2 if box is None else (c.tolist() for c in box)), uri and content_kind(uri)))
             if uri and uri.endswith(".json"):
                 document(base + uri, depth + 1, m)
             if "implicitTiling" in tile:
                 found, more = implicit_tiles(folder, base, tile["implicitTiling"])
-                rows.extend((level + key[0], base + _fill(uri or "", key), 0.0, 0.0, 0.0, float(tile.get("geometricError", 0)) / 2 ** key[0]) for key in found)
+                rows.extend((level + key[0], base + _fill(uri or "", key), 0.0, 0.0, 0.0, float(tile.get("geometricError", 0)) / 2 ** key[0], None, None, content_kind(uri or "")) for key in found)
                 warned.extend(more)
             for child in tile.get("children", ()):
                 queue.append((child, level + 1, m @ _matrix(child)))
@@ -230,4 +263,4 @@ def _child(root: tuple[int, ...], level: int, code: int, dims: int) -> tuple[int
 
 def tiles_of(spark: SparkSession, folder: str) -> DataFrame:
     rows, _ = walk(folder)
-    return spark.createDataFrame(rows, "depth int, uri string, x double, y double, z double, geometric_error double")
+    return spark.createDataFrame(rows, "depth int, uri string, x double, y double, z double, geometric_error double, low array<double>, high array<double>, kind string")

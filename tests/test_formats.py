@@ -89,6 +89,11 @@ def test_headers():
     assert (h.points, h.low, h.high, h.version, h.data_offset) == (5, [0, 1, 2], [3, 4, 5], (1, 4), len(head))
     h.vlrs, whole = las.walk_records(head, h.header_bytes, h.n_vlrs, False)
     assert whole and las.projection(h) == "EPSG:26912"
+    keys = lambda *k: [las.Vlr("LASF_Projection", 34735, "keys", np.array([1, 1, 0, len(k), *(v for a, b in k for v in (a, 0, 1, b))], "<u2").tobytes())]
+    for found, want in (((1024, 2), (3072, 26912), (2048, 4326)), "EPSG:4326"), (((1024, 1), (2048, 4326)), None), (((2048, 4326),), "EPSG:4326"), (((1024, 1), (3072, 32767)), None):
+        h.vlrs = keys(*found)
+        assert las.projection(h) == want
+    h.vlrs = vlrs[:]
     assert head[107:111] == b"\0\0\0\0"
     extra = bytearray(192)
     extra[2], extra[4:9] = 4, b"depth"
@@ -297,3 +302,77 @@ def test_commands(spark, points, tmp_path):
     assert commands.snapshot(spark, scan, size=32).count() > 10
     with pytest.raises(ValueError):
         commands.sniff(f"{tmp_path}/in")
+
+
+def test_volumes():
+    from pointmill.sources import tiles
+
+    turned = np.array([[0, -2.0, 0, 5], [2, 0, 0, 6], [0, 0, 2, 7], [0, 0, 0, 1]])
+    low, high = tiles.volume_box({"box": [1, 0, 0, 3, 0, 0, 0, 1, 0, 0, 0, 0.5]}, turned)
+    assert (low.tolist(), high.tolist()) == ([3, 2, 6], [7, 14, 8])
+    low, high = tiles.volume_box({"sphere": [0, 0, 0, 1.5]}, turned)
+    assert (low.tolist(), high.tolist()) == ([2, 3, 4], [8, 9, 10])
+    region = [3.0, -0.2, -3.0, 0.3, -50.0, 500.0]
+    low, high = tiles.volume_box({"region": region}, turned)
+    lon, lat, h = (x.ravel() for x in np.meshgrid(np.linspace(3.0, 2 * np.pi - 3.0, 201), np.linspace(-0.2, 0.3, 201), [-50.0, 500.0]))
+    e2 = 1 - (6356752.314245179 / 6378137.0) ** 2
+    n = 6378137.0 / np.sqrt(1 - e2 * np.sin(lat) ** 2)
+    p = np.stack([(n + h) * np.cos(lat) * np.cos(lon), (n + h) * np.cos(lat) * np.sin(lon), (n * (1 - e2) + h) * np.sin(lat)], axis=1)
+    assert (p >= low - 1e-6).all() and (p <= high + 1e-6).all() and np.abs(p.min(axis=0) - low).max() < 200 and np.abs(p.max(axis=0) - high).max() < 200
+    assert tiles.volume_box({}, turned) is None
+    assert [tiles.content_kind(u) for u in ("a.PNTS", "b.glb?x=1", "c/d.json#f", "e.b3dm", "f")] == ["pnts", "gltf", "tileset", "mesh", "unknown"]
+
+
+def test_e57_extent(spark, tmp_path):
+    from pointmill.sources import e57
+
+    half = np.sqrt(0.5)
+    scan = e57.Scan(0, 1, [], (half, 0.0, 0.0, half, 100.0, 0.0, 5.0), {}, ([0.0, 0.0, 0.0], [4.0, 2.0, 1.0]))
+    low, high = e57.declared_extent([scan, e57.Scan(0, 1, [])])
+    assert low == pytest.approx([98, 0, 5]) and high == pytest.approx([100, 4, 6]) and e57.declared_extent([e57.Scan(0, 1, [])]) is None
+    e57.write(path := f"{tmp_path}/a.e57", [(*_grid(), NO_POSE)])
+    low, high, n = e57.measure(spark, path)
+    assert n == 100 and low == pytest.approx([500000, 4300000, 100]) and high == pytest.approx([500009, 4300009, 108.1])
+    assert ("e57-extent-unknown", path) in e57.warnings_of(path)
+
+
+def test_doctor_of_a_url(spark, built, tmp_path):
+    """A served cloud is inspected by ranges, its real bytes count, and a server that is not there is unreachable."""
+    import threading
+
+    from pointmill.plans import commands
+    from pointmill.sources import ept, serve
+
+    box = lod.extent(built)
+    cube = (box[0], max(h - a for a, h in zip(*box)))
+    potree.write(built, f"{tmp_path}/p", SCALE, OFFSET, cube, box, 8, "BROTLI")
+    manifest = ept.write(built, f"{tmp_path}/e", SCALE, OFFSET, cube, box, 8, "EPSG:26912")
+    assert manifest["srs"] == {"authority": "EPSG", "horizontal": "26912"} and ept.crs_of(manifest) == "EPSG:26912"
+    s = serve.server(str(tmp_path), port=0, cache=60)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{s.server_address[1]}"
+    try:
+        info, levels = commands.inspect(spark, f"{base}/p", deep=True)
+        assert info.first().point_count == built.count() == levels.agg(F.sum("points")).first()[0]
+        for name in ("p", "e"):
+            found, code = commands.doctor(spark, f"{base}/{name}")
+            codes = {(r.level, r.code) for r in found.collect()}
+            assert code == 0 and {("pass", "range"), ("pass", "cors"), ("pass", "point-count")} <= codes
+            assert (("warn", "small-nodes") in codes) == (name == "p")
+    finally:
+        s.shutdown()
+        s.server_close()
+    found, code = commands.doctor(spark, f"{base}/p")
+    assert code == 1 and [r.code for r in found.collect()] == ["unreachable"]
+
+
+def test_chunks_and_inputs(spark, tmp_path):
+    """A small budget builds by chunks; inputs lie one after the other, however many there are."""
+    from pointmill.plans import commands
+
+    assert commands.input_starts({0: 4, 2: 9}, 4) == [0, 5, 5, 15]
+    assert commands.input_starts(dict.fromkeys(range(300), 2**40), 300)[299] == 299 * (2**40 + 1) < 2**63
+    data = [(i, i * 7 % 50, i % 9, i, 5, 1, 1, 0, 0, 0, 0, 2, 0, 0, 1, 0.0, 1, 2, 3, None, None) for i in range(200)]
+    tile = las.write_tiles(spark.createDataFrame(data, las.POINT_SCHEMA).coalesce(1), f"{tmp_path}/in", 7, SCALE, OFFSET).first().file
+    report = commands.convert(spark, [tile, tile], f"{tmp_path}/out", "potree", span=4, leaf=100, memory=10_000)
+    assert report["points"] == 400 == potree.read_points(spark, f"{tmp_path}/out").count()
