@@ -9,6 +9,7 @@ a letter is a token of its own too, which saves pieces that differ in punctuatio
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import json
@@ -24,6 +25,8 @@ import pyarrow.compute as pc
 MAX_PIECES = 300_000
 #: Bytes of text encoded together.
 TEXT_ROOM = 3_000_000
+#: New pieces given to the library at a time: it holds over 100 bytes a token until it has returned.
+LEARN_ROOM = 10_000
 #: White space but for the space and the line end, as any library may know it.
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _TAIL = ".,;:!?&%$*#|"
@@ -42,6 +45,12 @@ def shared_encoder(tokenizer_json: str) -> "PieceEncoder":
     return _SHARED[key]
 
 
+def _trim() -> None:
+    """Asks the C library to return free memory, where it can."""
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 class PieceEncoder:
     def __init__(self, tokenizer_json: str, max_pieces: int = MAX_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,11 +68,20 @@ class PieceEncoder:
         self.line_end_id, self.line_end = line_end, int.from_bytes(line_end[:4], "little")
         self.splits = len(line_end) == 4 and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not described.get("normalizer")
 
+    def forget(self) -> None:
+        """Gives the memory of what was learnt back. Done when a task ends, since Spark keeps workers that wait beside those that run."""
+        for memory in (self.known, self.older, self.lines, self.tails):
+            memory.clear()
+        pa.default_memory_pool().release_unused()
+        _trim()
+
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _each(self, stems: list[str], before: str) -> list[bytes]:
         """The ids of each stem after ``before``, from one text of a stem a line: a line end is a token of its own there."""
+        if len(stems) > LEARN_ROOM:
+            return [v for i in range(0, len(stems), LEARN_ROOM) for v in self._each(stems[i : i + LEARN_ROOM], before)]
         if not stems:
             return []
         ids = np.array(self.tokenizer.encode_batch_fast(["".join(["\n" + before + s for s in stems])], add_special_tokens=False)[0].ids, "<u4")

@@ -38,6 +38,7 @@ def _encoder(tokenizer_json: str, version: str):
             for a, b in bpe.slices(bpe.text_sizes(batch.column("content")), bpe.TEXT_ROOM):
                 counts += encoder.count_column(batch.column("content").slice(a, b - a)).tolist()
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(counts), pa.string()), batch.column("digest").cast(pa.binary()), pa.array(counts, pa.int64())], ["tokenizer", "digest", "n_tokens"])
+        encoder.forget()
 
     return encode
 

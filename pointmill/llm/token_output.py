@@ -43,6 +43,7 @@ def _writer(tokenizer_json: str, end_id: int):
                 lists = pa.ListArray.from_arrays(pa.array(offsets), values)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part, np.int32)), ids.slice(a, b - a), pa.array(offsets[:-1].astype(np.int64) + at), pa.array(np.diff(offsets)), lists], ["part", "doc_id", "at", "n_tokens", "ids"])
                 at += int(offsets[-1])
+        encoder.forget()
 
     return write
 
