@@ -4,17 +4,21 @@ The pre-tokenizer of a byte-level BPE ends a token before every space that start
 before the last space of such a run if a visible character follows. So a text may be cut at these spaces, each
 piece encoded alone, and the ids joined; ``encode`` cuts only there and gives texts with other runs of white
 space, or with white space of which libraries differ, to the library whole. A trailing run of punctuation after
-a letter is a token of its own too, which saves pieces that differ in punctuation only.
+a letter is a token of its own too, which saves pieces that differ in punctuation only. A run of letters, with or
+without a space before it, is one word to the pre-tokenizer, so such words go to the library's model at once.
 """
 
 from __future__ import annotations
 
+import codecs
 import ctypes
 import gc
 import hashlib
 import json
 import os
 import re
+from array import array
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +28,16 @@ import pyarrow.compute as pc
 #: one, of which what is met again moves on to the new one.
 MAX_PIECES = 300_000
 #: Bytes of text encoded together.
-TEXT_ROOM = 3_000_000
+TEXT_ROOM = 6_000_000
 #: New pieces given to the library at a time: it holds over 100 bytes a token until it has returned.
 LEARN_ROOM = 10_000
 #: White space but for the space and the line end, as any library may know it.
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _TAIL = ".,;:!?&%$*#|"
+#: Byte-level models spell each byte as one visible character: itself where Latin-1 shows it, else the next from 256 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_HIDDEN = sorted(set(range(256)) - set(_SHOWN))
+_SPELLING = "".join(chr(256 + _HIDDEN.index(b)) if b in _HIDDEN else chr(b) for b in range(256))
 _SHARED: dict[str, "PieceEncoder"] = {}
 
 
@@ -58,6 +66,9 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.max_pieces = max_pieces
+        self.model = self.tokenizer.model
+        self.letters: set[str] = set()
+        self.others: set[str] = set()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.lines: dict[str, bytes] = {}
@@ -66,7 +77,9 @@ class PieceEncoder:
         pre = described.get("pre_tokenizer") or {}
         line_end = self._library(["\n"])[0]
         self.line_end_id, self.line_end = line_end, int.from_bytes(line_end[:4], "little")
-        self.splits = len(line_end) == 4 and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not described.get("normalizer")
+        # texts are cut at spaces and searched for "<" alone, so every added token must have the one and not the other
+        added = [t["content"] for t in described.get("added_tokens") or []]
+        self.splits = all("<" in t and " " not in t for t in added) and len(line_end) == 4 and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not described.get("normalizer")
 
     def forget(self) -> None:
         """Gives the memory of what was learnt back. Done when a task ends, since Spark keeps workers that wait beside those that run."""
@@ -78,6 +91,19 @@ class PieceEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, stems: list[str], before: str) -> list[bytes]:
+        """The ids of each run of letters after ``before``: the model takes what the pre-tokenizer would keep in one piece."""
+        for c in set("".join(stems)) - self.letters - self.others:
+            (self.letters if len(self.tokenizer.pre_tokenizer.pre_tokenize_str(f"a{c}a")) == 1 else self.others).add(c)
+        sure = [self.others.isdisjoint(s) for s in stems]
+        tokenize = self.model.tokenize
+        spelt = codecs.charmap_decode(("\n" + before).join(["", *compress(stems, sure)]).encode(), "strict", _SPELLING)[0].split(_SPELLING[10])
+        made = [array("I", [t.id for t in tokenize(w)]).tobytes() for w in spelt[1:]]
+        if len(made) == len(stems):
+            return made
+        both = (iter(self._each([s for s, ok in zip(stems, sure) if not ok], before)), iter(made))
+        return [next(both[ok]) for ok in sure]
+
     def _each(self, stems: list[str], before: str) -> list[bytes]:
         """The ids of each stem after ``before``, from one text of a stem a line: a line end is a token of its own there."""
         if len(stems) > LEARN_ROOM:
@@ -123,7 +149,7 @@ class PieceEncoder:
         for group, before in ((plain, " "), (lines, "")):
             stems = list(group)
             if group is plain:
-                known.update(zip(stems, self._each(stems, before)))
+                known.update(zip(stems, self._words(stems, before)))
             else:
                 self.lines.update(zip(stems, [self.line_end_id + v for v in self._each(stems, before)]))
         tails.update(t for _, made in joined for _, _, t in made if t)

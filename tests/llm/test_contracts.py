@@ -89,6 +89,15 @@ def test_pieces_equal_the_library(tokenizer, docs):
             assert np.frombuffer(got, "<u4").tolist() == ids_of(tokenizer, text), repr(text)
 
 
+def test_words_equal_the_library(tokenizer):
+    """Letters of any script, marks, digits and signs inside words, first and later in a text, and the spelling of every byte."""
+    encoder = bpe.PieceEncoder(bpe.load(bpe.default_path()))
+    words = ["straße", "žluťoučký", "слово", "语言模型", "ﬁn", "e\u0301te", "ªº", "a²b", "Ⅷ", "𐐀𐐁", "naïve", "x\u00adx", "l'été", "ab1c", "ʼn", "हिन्दी", "\u0378"]
+    words += [chr(c) for c in range(33, 1000) if not chr(c).isspace()] + [f"a{chr(c)}b" for c in range(33, 1000) if not chr(c).isspace()]
+    for text in ([" ".join(words)], words, [f"x {w}, {w}" for w in words], [f"x\n{w} {w}" for w in words]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_many(text)] == [ids_of(tokenizer, x) for x in text]
+
+
 def test_token_counts(spark, edge, empty, clashing, tokenizer, tmp_path):
     want = sorted(((d, len((t or "").encode()), len(ids_of(tokenizer, t)), len(ids_of(tokenizer, t)) > 5) for d, t, *_ in EDGE), key=repr)
     cache = f"file://{tmp_path}/cache"
