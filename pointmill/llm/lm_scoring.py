@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -36,19 +35,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices, text_sizes
-from .common import fold, stored, words_of
+from .common import fold, stored
 
 END = b"\n"
 HEAD, HEAD_CLASSES, TAIL_CLASSES = 768, 24, 40
 KNOWN = 150_000
 HIDDEN, WINDOW, STREAMS = 16, 24, 512
+#: Rows of a softmax over classes at once, so that its exponentials stay in a core's cache.
+ROWS = 2_048
 #: Tokens that are laid out in streams at once, about 40 bytes each. Scoring takes as many steps as its longest document
 #: has tokens, so the more documents beside it the better.
 SCORE_TOKENS, TRAIN_TOKENS = 3_000_000, 1_000_000
 #: Texts turned into tokens at once.
-ENCODE_BYTES = 2_000_000
-#: Distinct tokens counted before partial counts leave a task.
-COUNTED = 400_000
+ENCODE_BYTES = 8_000_000
+#: Tokens counted before partial counts leave a task.
+COUNT_TOKENS = 3_000_000
 WARM_DOCS = 1_500
 _CHARS = 4_000_000
 
@@ -58,24 +59,36 @@ def tail_class(word: bytes) -> int:
     return (word[-1] + 256 * (word[-2] if len(word) > 1 else 0)) % TAIL_CLASSES
 
 
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """``tail_class`` of each word of a column."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)
+    return (data[ends[1:] - 1] + 256 * np.where(np.diff(ends) > 1, data[ends[1:] - 2], 0).astype(np.int64)) % TAIL_CLASSES
+
+
 # ---- counts -----------------------------------------------------------------------------------------------------
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+def word_column(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``words_of`` each text of a column, in a row, and how many words each has (Arrow's functions for ASCII know no other space)."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    sizes, words = np.asarray(pc.list_value_length(split)).astype(np.int64), split.flatten().cast(pa.binary())
+    full = np.asarray(pc.binary_length(words)) > 0
+    if not full.all():  # beside white space at either end
+        cuts = np.concatenate(([0], np.cumsum(full)))[np.concatenate(([0], np.cumsum(sizes)))]
+        sizes, words = np.diff(cuts), words.filter(pa.array(full))
+    return words, sizes
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
 
-    for batch in batches:
-        for text in batch.column("text"):
-            counts.update(words_of(text.as_py()))
-            counts[END] += 1
-            if len(counts) > COUNTED:
-                yield out()
-                counts.clear()
-    if counts:
-        yield out()
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _groups(batches, COUNT_TOKENS):
+        counted = pc.value_counts(word_column(part.column("text").combine_chunks())[0])
+        yield pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([counted.field("values"), pa.array([END], pa.binary())]), pa.concat_arrays([counted.field("counts"), pa.array([part.num_rows], pa.int64())])], ["word", "c"]
+        )
 
 
 def token_table(training: DataFrame) -> DataFrame:
@@ -167,90 +180,113 @@ class Network:
 
     def forward(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray) -> dict:
         """x: inputs (T, B); keep: 0 where a document starts. States of all steps and what the gradient needs."""
-        steps, streams = x.shape
-        gates = self.p["E"][x]
-        hs = np.empty((steps + 1, streams, HIDDEN), np.float32)
+        (steps, streams), kind = x.shape, self.p["E"].dtype
+        hs = np.empty((steps + 1, streams, HIDDEN), kind)
         hs[0] = h
-        zr = np.empty((steps, streams, 2 * HIDDEN), np.float32)
-        n = np.empty((steps, streams, HIDDEN), np.float32)
+        # the gates' arrays are whole for each gate and step, and their weights negative: the logistic function takes exp(-a)
+        zr = np.empty((steps, 2, streams, HIDDEN), kind)
+        for k in range(2):
+            zr[:, k] = (-self.p["E"][:, k * HIDDEN : (k + 1) * HIDDEN]).take(x, axis=0)
+        n = self.p["E"][:, 2 * HIDDEN :].copy().take(x, axis=0)
+        u, un = -self.p["U"].reshape(HIDDEN, 2, HIDDEN).transpose(1, 0, 2), self.p["N"]
         before = np.empty_like(n)
-        u, un = self.p["U"], self.p["N"]
+        gates, inner = np.empty_like(zr[0]), np.empty_like(n[0])
         for t in range(steps):
-            np.multiply(hs[t], keep[t], out=before[t])
-            b = before[t]
-            a = gates[t, :, : 2 * HIDDEN] + b @ u
-            np.exp(-a, out=a)
+            b, a, m, after = before[t], zr[t], n[t], hs[t + 1]
+            np.multiply(hs[t], keep[t], out=b)
+            a += np.matmul(b, u, out=gates)
+            np.exp(a, out=a)
             a += 1
             np.reciprocal(a, out=a)
-            zr[t] = a
-            m = gates[t, :, 2 * HIDDEN :] + (a[:, HIDDEN:] * b) @ un
+            np.multiply(a[1], b, out=after)
+            m += np.matmul(after, un, out=inner)
             np.tanh(m, out=m)
-            n[t] = m
-            hs[t + 1] = m + a[:, :HIDDEN] * (b - m)
+            np.subtract(b, m, out=after)
+            after *= a[0]
+            after += m
         return {"x": x, "keep": keep, "hs": hs, "zr": zr, "n": n, "before": before}
 
     def output(self, h: np.ndarray, cls: np.ndarray, place: np.ndarray, grad: bool = False):
         """Natural log probabilities of (class, place in the class) for states h (M, H); place -1: the class alone."""
-        logits = h @ self.p["C"]
-        logits += self.p["c"]
-        np.clip(logits, -60, 60, out=logits)
-        np.exp(logits, out=logits)
-        sums = logits.sum(axis=1)
-        rows = np.arange(len(h))
-        logp = np.log(logits[rows, cls]) - np.log(sums)
-        dh, grads = None, {}
-        if grad:
-            logits /= sums[:, None]
-            logits[rows, cls] -= 1
-            grads["C"], grads["c"] = h.T @ logits, logits.sum(axis=0)
-            grads["W"], grads["w"] = np.zeros_like(self.p["W"]), np.zeros_like(self.p["w"])
-            dh = logits @ self.p["C"].T
+        logp = np.empty(len(h), h.dtype)
+        dh = np.empty_like(h) if grad else None
+        grads = {k: np.zeros_like(self.p[k]) for k in "CcWw"} if grad else {}
+        reach = float(max(h.max(initial=0), -h.min(initial=0)))
+
+        def part(rows: slice, h: np.ndarray, own: np.ndarray, weights: np.ndarray, bias: np.ndarray, logp: np.ndarray, dh: np.ndarray | None, gw: np.ndarray | None, gb: np.ndarray | None) -> None:
+            """One softmax over some rows: log probabilities, and the gradients divided by the sums where they are narrow."""
+            h = h[rows]
+            e = h @ weights
+            e += bias
+            if reach * np.abs(weights).sum(axis=0).max() + np.abs(bias).max() > 60:
+                np.clip(e, -60, 60, out=e)
+            np.exp(e, out=e)
+            sums = e @ np.ones(e.shape[1], e.dtype)
+            at = np.arange(len(h)) * e.shape[1] + own[rows]
+            flat = e.reshape(-1)
+            np.log(flat.take(at) / sums, out=logp[rows])
+            if dh is not None:
+                flat[at] -= sums
+                inverse = 1 / sums
+                gw += (h * inverse[:, None]).T @ e
+                gb += inverse @ e
+                np.multiply(e @ weights.T, inverse[:, None], out=dh[rows])
+
+        for a in range(0, len(h), ROWS):
+            part(slice(a, a + ROWS), h, cls, self.p["C"], self.p["c"], logp, dh, grads.get("C"), grads.get("c"))
         heads = np.flatnonzero(place >= 0)
-        order = heads[np.argsort(cls[heads], kind="stable")]
-        cuts = np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1))
+        order = heads[np.argsort(cls[heads].astype(np.int16), kind="stable")]
+        cuts = np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1)).tolist()
+        inside, own, inside_logp = h.take(order, axis=0), place[order], np.empty(len(order), h.dtype)
+        inside_dh = np.empty_like(inside) if grad else None
         for k in range(HEAD_CLASSES):
-            at = order[cuts[k] : cuts[k + 1]]
-            if not len(at):
-                continue
-            hk = h[at]
-            inside = hk @ self.p["W"][k]
-            inside += self.p["w"][k]
-            np.clip(inside, -60, 60, out=inside)
-            np.exp(inside, out=inside)
-            total = inside.sum(axis=1)
-            own = np.arange(len(at))
-            logp[at] += np.log(inside[own, place[at]]) - np.log(total)
-            if grad:
-                inside /= total[:, None]
-                inside[own, place[at]] -= 1
-                grads["W"][k], grads["w"][k] = hk.T @ inside, inside.sum(axis=0)
-                dh[at] += inside @ self.p["W"][k].T
+            for a in range(cuts[k], cuts[k + 1], 2 * ROWS):
+                rows = slice(a, min(a + 2 * ROWS, cuts[k + 1]))
+                part(rows, inside, own, self.p["W"][k], self.p["w"][k], inside_logp, inside_dh, grads["W"][k] if grad else None, grads["w"][k] if grad else None)
+        logp[order] += inside_logp
+        if grad:
+            dh[order] += inside_dh
         return logp, dh, grads
 
     def backward(self, f: dict, dhs: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients through one window; dhs (T, B, H) from the outputs."""
         steps, streams = f["x"].shape
-        da = np.empty((steps, streams, 3 * HIDDEN), dhs.dtype)
-        back = np.zeros((streams, HIDDEN), np.float32)
-        ut, nt = self.p["U"].T.copy(), self.p["N"].T.copy()
+        da = np.empty((steps, 3, streams, HIDDEN), dhs.dtype)
+        back = np.zeros((streams, HIDDEN), dhs.dtype)
+        ut, nt = self.p["U"].reshape(HIDDEN, 2, HIDDEN).transpose(1, 2, 0).copy(), self.p["N"].T.copy()
+        d, s, drb = np.empty_like(back), np.empty_like(back), np.empty_like(back)
+        both = np.empty((2, streams, HIDDEN), dhs.dtype)
         for t in range(steps - 1, -1, -1):
-            d = dhs[t] + back
-            z, r = f["zr"][t, :, :HIDDEN], f["zr"][t, :, HIDDEN:]
-            n, b = f["n"][t], f["before"][t]
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (b - n) * z * (1 - z)
-            drb = dn @ nt
-            dr = drb * b * r * (1 - r)
-            da[t, :, :HIDDEN], da[t, :, HIDDEN : 2 * HIDDEN], da[t, :, 2 * HIDDEN :] = dz, dr, dn
-            back = (d * z + drb * r + da[t, :, : 2 * HIDDEN] @ ut) * f["keep"][t]
-        flat, b = da.reshape(-1, 3 * HIDDEN), f["before"].reshape(-1, HIDDEN)
-        r = f["zr"][:, :, HIDDEN:].reshape(-1, HIDDEN)
+            (z, r), n, b, (dz, dr, dn) = f["zr"][t], f["n"][t], f["before"][t], da[t]
+            np.add(dhs[t], back, out=d)
+            np.multiply(d, z, out=back)
+            np.subtract(d, back, out=dn)  # d (1 - z)
+            np.subtract(b, n, out=dz)
+            dz *= dn
+            dz *= z
+            np.multiply(n, n, out=s)
+            np.subtract(1, s, out=s)
+            dn *= s
+            np.matmul(dn, nt, out=drb)
+            drb *= r
+            back += drb
+            np.multiply(drb, b, out=dr)
+            np.subtract(1, r, out=s)
+            dr *= s
+            np.matmul(da[t, :2], ut, out=both)
+            back += both[0]
+            back += both[1]
+            back *= f["keep"][t]
         x = f["x"].ravel()
-        order = np.argsort(x, kind="stable")
-        starts = np.flatnonzero(np.concatenate(([True], x[order][1:] != x[order][:-1])))
+        order = np.argsort(x.astype(np.min_scalar_type(len(self.p["E"]))), kind="stable")  # 16 bits go by radix
+        ordered = x.take(order)
+        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        b = f["before"].reshape(-1, HIDDEN)
+        flat = [da[:, k].reshape(-1, HIDDEN) for k in range(3)]
         e = np.zeros_like(self.p["E"])
-        e[x[order][starts]] = np.add.reduceat(flat[order], starts, axis=0)
-        return {"E": e, "U": b.T @ flat[:, : 2 * HIDDEN], "N": (r * b).T @ flat[:, 2 * HIDDEN :]}
+        e[ordered[starts]] = np.add.reduceat(np.concatenate(flat, axis=1).take(order, axis=0), starts, axis=0)
+        rb = f["zr"][:, 1].reshape(-1, HIDDEN) * b
+        return {"E": e, "U": np.concatenate((b.T @ flat[0], b.T @ flat[1]), axis=1), "N": rb.T @ flat[2]}
 
     def step(self, grads: dict[str, np.ndarray], rate: float) -> None:
         """AdaGrad."""
@@ -272,31 +308,32 @@ class Tokens:
     place: np.ndarray  # among the known tokens, or -1
     tails: np.ndarray  # class by the last bytes
     sizes: np.ndarray  # tokens of each document
-    rare: list[list[bytes]]  # of each document, the tokens that are not known
+    rare: pa.ListArray  # of each document, the tokens that are not known
 
 
-def encode(texts: list[str | None], v: Vocabulary) -> Tokens:
-    places, tails, sizes, rare = [], [], [], []
+def encode(texts: pa.Array | list[str | None], v: Vocabulary) -> Tokens:
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    places, tails, sizes, rare, strange = [], [], [], [], []
     classes = v.classes if len(v.classes) else np.zeros(1, np.int64)
-    for a, b in slices([len(t or "") for t in texts], ENCODE_BYTES):
-        words: list[bytes] = []
-        own = []
-        for t in texts[a:b]:
-            w = words_of(t)
-            w.append(END)
-            words += w
-            own.append(len(w))
-        place = np.asarray(pc.fill_null(pc.index_in(pa.array(words, pa.binary()), value_set=v.words), -1))
+    for a, b in slices(text_sizes(texts), ENCODE_BYTES):
+        words, own = word_column(texts.slice(a, b - a))
+        ends = np.cumsum(own + 1) - 1
+        inner = np.ones(len(words) + len(own), bool)
+        inner[ends] = False
+        place = np.full(len(inner), v.known.get(END, -1), np.int32)
+        place[inner] = np.asarray(pc.fill_null(pc.index_in(words, value_set=v.words), -1))
         tail = classes[np.maximum(place, 0)].astype(np.int16)
         unknown = np.flatnonzero(place < 0)
-        strange = [words[i] for i in unknown.tolist()]
-        tail[unknown] = [tail_class(w) for w in strange]
-        ends = np.searchsorted(unknown, np.cumsum(own)).tolist()
-        rare += [strange[x:y] for x, y in zip([0, *ends], ends)]
+        # ends come after the words here, as one more of them
+        which = np.where(inner, np.cumsum(inner) - 1, len(words))[unknown]
+        strange.append(pa.concat_arrays([words, pa.array([END], pa.binary())]).take(pa.array(which)))
+        tail[unknown] = tail_classes(strange[-1])
+        rare.append(np.diff(np.searchsorted(unknown, ends, side="right"), prepend=0))
         places.append(place)
         tails.append(tail)
-        sizes += own
-    return Tokens(np.concatenate(places), np.concatenate(tails), np.array(sizes, np.int64), rare)
+        sizes.append(own + 1)
+    offsets = np.concatenate(([0], np.cumsum(np.concatenate(rare)))).astype(np.int32)
+    return Tokens(np.concatenate(places), np.concatenate(tails), np.concatenate(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(strange)))
 
 
 def layout(sizes: np.ndarray, streams: int) -> list[list[int]]:
@@ -357,7 +394,7 @@ def windows(at: np.ndarray, lengths: np.ndarray, target: Targets, steps: int):
         yield part, target.before[part], (~target.first[part]).astype(np.float32)[:, :, None], mask
 
 
-def train(net: Network, v: Vocabulary, texts: list[str | None], rate: float) -> int:
+def train(net: Network, v: Vocabulary, texts: pa.Array | list[str | None], rate: float) -> int:
     """One pass of truncated backpropagation over the documents; the number of tokens."""
     tokens = encode(texts, v)
     target = Targets(net, v, tokens)
@@ -365,19 +402,21 @@ def train(net: Network, v: Vocabulary, texts: list[str | None], rate: float) ->
     h = np.zeros((len(lengths), HIDDEN), np.float32)
     for part, x, keep, mask in windows(at, lengths, target, WINDOW):
         f = net.forward(x, keep, h[: x.shape[1]])
-        live = np.flatnonzero(mask.ravel())
+        live = slice(None) if mask.all() else np.flatnonzero(mask.ravel())
         own = part.ravel()[live]
-        _, dh, grads = net.output(f["hs"][1:].reshape(-1, HIDDEN)[live], target.cls[own], target.place[own], grad=True)
-        dhs = np.zeros((mask.size, HIDDEN), np.float32)
-        dhs[live] = dh
-        grads |= net.backward(f, dhs.reshape(*mask.shape, HIDDEN))
-        scale = np.float32(1.0 / len(live))
+        _, dh, grads = net.output(f["hs"][1:].reshape(-1, HIDDEN)[live], target.cls.take(own), target.place.take(own), grad=True)
+        if len(own) < mask.size:
+            dhs = np.zeros((mask.size, HIDDEN), np.float32)
+            dhs[live] = dh
+            dh = dhs
+        grads |= net.backward(f, dh.reshape(*mask.shape, HIDDEN))
+        scale = np.float32(1.0 / len(own))
         net.step({k: g * scale for k, g in grads.items()}, rate)
         h = f["hs"][-1]
     return len(tokens.place)
 
 
-def score(net: Network, v: Vocabulary, texts: list[str | None]):
+def score(net: Network, v: Vocabulary, texts: pa.Array | list[str | None]):
     """Per document: tokens, known tokens, base sum and model sum of log10 without what rare tokens add, rare tokens."""
     tokens = encode(texts, v)
     place, sizes = tokens.place, tokens.sizes
@@ -387,17 +426,15 @@ def score(net: Network, v: Vocabulary, texts: list[str | None]):
     h = np.zeros((len(lengths), HIDDEN), np.float32)
     for part, x, keep, mask in windows(at, lengths, target, WINDOW):
         f = net.forward(x, keep, h[: x.shape[1]])
-        live = np.flatnonzero(mask.ravel())
+        live = slice(None) if mask.all() else np.flatnonzero(mask.ravel())
         own = part.ravel()[live]
-        logp[own] = net.output(f["hs"][1:].reshape(-1, HIDDEN)[live], target.cls[own], target.place[own])[0]
+        logp[own] = net.output(f["hs"][1:].reshape(-1, HIDDEN)[live], target.cls.take(own), target.place.take(own))[0]
         h = f["hs"][-1]
     logp /= math.log(10)
     known = place >= 0
-    counted = np.zeros(len(place))
-    if len(v.counts):
-        counted[known] = np.log10(v.counts + 0.1)[place[known]]
-    tail = target.place < 0
-    logp[tail] += (counted - v.mass[tokens.tails])[tail]
+    counted = np.append(np.log10(v.counts + 0.1), 0.0).take(place, mode="wrap")  # -1 is the last: 0 until the join
+    tail = np.flatnonzero(target.place < 0)
+    logp[tail] += counted[tail] - v.mass.take(tokens.tails[tail])
     starts = np.cumsum(sizes) - sizes
     base = np.add.reduceat(counted, starts) - sizes * v.base_log_total
     return sizes, np.add.reduceat(known.astype(np.int64), starts), base, np.add.reduceat(logp, starts), tokens.rare
@@ -456,7 +493,7 @@ def _trainer(start, vocabulary_var, rate: float, passes: int):
             batches = list(batches)  # the warm start's bounded documents
         for k in range(passes):
             for part in _groups(iter(batches), TRAIN_TOKENS):
-                tokens += train(net, v, part.column("text").to_pylist(), rate * (1 - 0.7 * k / passes))
+                tokens += train(net, v, part.column("text").combine_chunks(), rate * (1 - 0.7 * k / passes))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 32], pa.int32()), pa.array([tokens], pa.int64()), pa.array([_pack(net, tokens)], pa.binary())], ["slot", "tokens", "params"])
 
     return run
@@ -497,9 +534,9 @@ def _scorer(params, vocabulary_var):
         net = Network(v.head)
         net.p = pickle.loads(params.value)[1]
         for part in _groups(batches, SCORE_TOKENS):
-            sizes, known, base, model, rare = score(net, v, part.column("text").to_pylist())
+            sizes, known, base, model, rare = score(net, v, part.column("text").combine_chunks())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").combine_chunks(), part.column("held_out").combine_chunks(), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(model), pa.array(rare, pa.list_(pa.binary()))],
+                [part.column("doc_id").combine_chunks(), part.column("held_out").combine_chunks(), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(model), rare],
                 ["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare"],
             )
 
