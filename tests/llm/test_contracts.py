@@ -2,6 +2,7 @@
 
 import math
 import re
+import sys
 import time
 import zlib
 from collections import Counter
@@ -100,6 +101,30 @@ def test_words_equal_the_library(tokenizer):
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_many(text)] == [ids_of(tokenizer, x) for x in text]
 
 
+def test_pieces_of_odd_columns(tokenizer):
+    """Columns without a piece, long runs of punctuation, lines of all kinds, and a memory that is full at every call."""
+    encoder = bpe.PieceEncoder(bpe.load(bpe.default_path()), max_pieces=3)
+    words = ["ab", "ab.", "ab" + "." * 8, "ab" + "!?" * 5, "12.", "ª.", "é!", "\u0378.", "...", "x1.", "a's.", "<.", "a<b.", "\tq.", "\u3000z.", "\x85"]
+    lines = [f"{a}\n{b}" for a in words for b in ["", *words]] + ["\n", "\n\n", "a\n\nb", "\na", "'s\n's"]
+    for texts in ([], [None], ["", None], ["ab"], ["ab "], [" "], words, lines, [f"x {w} {w}" for w in words + lines], [" ".join(words + lines)]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_many(texts)] == [ids_of(tokenizer, x) for x in texts]
+        column = pa.array(["left out", *texts], pa.string()).slice(1)
+        assert encoder.count_column(column).tolist() == [len(ids_of(tokenizer, x)) for x in texts]
+        sizes, ids = encoder.encode_column(column, 2)
+        assert sizes.tolist() == [len(ids_of(tokenizer, x)) + 1 for x in texts] and ids.to_pylist() == [i for x in texts for i in [*ids_of(tokenizer, x), 2]]
+    assert len(encoder.known) <= 1000
+
+
+def test_pieces_are_no_objects():
+    """What is remembered of many words is columns, not objects of Python's for each."""
+    encoder, rng = bpe.PieceEncoder(bpe.load(bpe.default_path())), np.random.default_rng(2)
+    text = pa.array([" ".join("".join(w) + t for w, t in zip(rng.choice(list("abcdefgh"), (20_000, 7)), rng.choice(["", ".", ","], 20_000)))])
+    encoder.encode_column(pa.array(["a b, c."]))
+    before = sys.getallocatedblocks()
+    sizes, ids = encoder.encode_column(text)
+    assert len(ids) == sizes[0] > 20_000 and sys.getallocatedblocks() - before < 5_000
+
+
 def test_token_counts(spark, edge, empty, clashing, tokenizer, tmp_path):
     want = sorted(((d, len((t or "").encode()), len(ids_of(tokenizer, t)), len(ids_of(tokenizer, t)) > 5) for d, t, *_ in EDGE), key=repr)
     cache = f"file://{tmp_path}/cache"
