@@ -59,8 +59,9 @@ def shared_encoder(tokenizer_json: str) -> "PieceEncoder":
     return _SHARED[key]
 
 
-def _trim() -> None:
-    """Asks the C library to return free memory, where it can."""
+def give_back() -> None:
+    """Returns free memory of Arrow's and the C library's, where they can. Done when a task ends, since Spark keeps workers that wait beside those that run."""
+    pa.default_memory_pool().release_unused()
     if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
         trim(0)
 
@@ -106,10 +107,9 @@ class PieceEncoder:
         self.tails: dict[bytes, bytes] = {}
 
     def forget(self) -> None:
-        """Gives the memory of what was learnt back. Done when a task ends, since Spark keeps workers that wait beside those that run."""
+        """Gives the memory of what was learnt back."""
         self._empty()
-        pa.default_memory_pool().release_unused()
-        _trim()
+        give_back()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import slices, text_sizes
+from .bpe import give_back, slices, text_sizes
 from .common import fold, stored
 
 END = b"\n"
@@ -89,6 +89,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [pa.concat_arrays([counted.field("values"), pa.array([END], pa.binary())]), pa.concat_arrays([counted.field("counts"), pa.array([part.num_rows], pa.int64())])], ["word", "c"]
         )
+        del part, counted
+    give_back()
 
 
 def token_table(training: DataFrame) -> DataFrame:
@@ -356,8 +358,8 @@ class Targets:
     def __init__(self, net: Network, v: Vocabulary, t: Tokens):
         size = net.size
         head = (t.place >= 0) & (t.place < v.head)
-        self.cls = np.where(head, t.place // size, HEAD_CLASSES + t.tails).astype(np.int32)
-        self.place = np.where(head, t.place % size, -1).astype(np.int32)
+        self.cls = np.where(head, t.place // size, HEAD_CLASSES + t.tails).astype(np.int16)
+        self.place = np.where(head, t.place % size, -1).astype(np.int16)
         inputs = np.where(head, t.place, HEAD_CLASSES * size + t.tails).astype(np.int32)
         self.first = np.zeros(len(t.place), bool)
         self.first[np.cumsum(t.sizes) - t.sizes] = True
@@ -430,6 +432,7 @@ def score(net: Network, v: Vocabulary, texts: pa.Array | list[str | None]):
         own = part.ravel()[live]
         logp[own] = net.output(f["hs"][1:].reshape(-1, HIDDEN)[live], target.cls.take(own), target.place.take(own))[0]
         h = f["hs"][-1]
+    del at, f, h
     logp /= math.log(10)
     known = place >= 0
     counted = np.append(np.log10(v.counts + 0.1), 0.0).take(place, mode="wrap")  # -1 is the last: 0 until the join
@@ -494,7 +497,9 @@ def _trainer(start, vocabulary_var, rate: float, passes: int):
         for k in range(passes):
             for part in _groups(iter(batches), TRAIN_TOKENS):
                 tokens += train(net, v, part.column("text").combine_chunks(), rate * (1 - 0.7 * k / passes))
+                del part
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 32], pa.int32()), pa.array([tokens], pa.int64()), pa.array([_pack(net, tokens)], pa.binary())], ["slot", "tokens", "params"])
+        give_back()
 
     return run
 
@@ -539,6 +544,8 @@ def _scorer(params, vocabulary_var):
                 [part.column("doc_id").combine_chunks(), part.column("held_out").combine_chunks(), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(model), rare],
                 ["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare"],
             )
+            del part, sizes, known, base, model, rare
+        give_back()
 
     return run
 
