@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 #: Words that a Python worker remembers (about 20 MB); beyond, those that the last slice of texts used.
 MAX_PIECES = 300_000
 #: Bytes of text encoded together.
-TEXT_ROOM = 6_000_000
+TEXT_ROOM = 3_000_000
 #: New pieces given to the library at a time: it holds over 100 bytes a token until it has returned.
 LEARN_ROOM = 10_000
 #: Words whose tokens are Python objects at a time: few enough that these are made again in the same places.
@@ -130,6 +130,7 @@ class PieceEncoder:
             other[c] = not self._is_letter(chr(c))
         sizes = np.asarray(pc.utf8_length(stems)).astype(np.int64)
         sure = ~np.logical_or.reduceat(other[codes], np.cumsum(sizes) - sizes)
+        del codes
         if not sure.all():
             order = np.argsort(np.concatenate((np.flatnonzero(sure), np.flatnonzero(~sure))))
             both = [self._words(stems.filter(pa.array(sure)), before)] if sure.any() else []
@@ -267,6 +268,7 @@ class PieceEncoder:
         at = np.asarray(coded.indices)
         sizes = np.asarray(pc.list_value_length(pieces)).astype(np.int64)
         starts = np.cumsum(sizes) - sizes
+        del pieces
         # a space with white space before it and after it (or the end) is inside a run: such texts are left whole
         blank = np.asarray(pc.equal(pc.binary_length(coded.dictionary), 0))
         starts_so, ends_so = (blank | np.asarray(pc.utf8_is_space(pc.utf8_slice_codeunits(coded.dictionary, a, b))) for a, b in ((0, 1), (-1, None)))
