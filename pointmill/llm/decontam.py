@@ -23,7 +23,8 @@ Items below EDITED_WIDTH words are not searched this way. The row of a leak that
 words and the item's words as windows and item_windows, and no n_slots.
 
 Each document row makes its windows alone, and only windows that meet the benchmark are shuffled. The benchmark's
-windows are broadcast while they are at most BROADCAST_WINDOWS rows, counted first; beyond it the join shuffles.
+windows are broadcast while they are at most BROADCAST_WINDOWS rows, counted first; beyond it the join shuffles. Words
+are hashed once, and windows are hashed and looked up by compiled code; a broadcast join reads slots of matches alone.
 
 Defined cases: null and empty texts have no window; rows of one doc_id are judged together, as are rows without one;
 repeated rows count once; an empty table on either side gives an empty result; other columns are ignored.
@@ -35,7 +36,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, small, stored
-from .quality_rules import let
 
 BROADCAST_WINDOWS = 200_000
 LEAKED_KEYS = 1_000_000
@@ -57,51 +57,62 @@ STEPS = (
     (rf"([^{_S}.!?:;\"'\x01][{_S}]+)(\p{{Lu}}\p{{Ll}}\p{{L}}*)", "$1\x01p$2"),
     (rf"(\x01n[^{_S}]*[{_S}]+)({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})([^\p{{L}}\p{{N}}]|$)", "$1\x01u$2$3"),
 )
+#: STEPS for Java and texts that start with a space: a match takes the space before a slot alone, so neighbouring names need
+#: one step. ``\\s`` is ``[_S]`` there.
+_JAVA_STEPS = (
+    (r"\s(?=[^\s\p{L}\p{N}]*+\p{N})", "$0\x01n"),
+    ("\\s(?=\\s*+\\p{Lu}\\p{Ll})(?<=[^\\s.!?:;\"'\x01]\\s)\\s*+", "$0\x01p"),
+    STEPS[-1],
+)
 _PUNCTUATION = rf"[^\p{{L}}\p{{N}}\x01{_S}]+"
 
 
 def template_words(text: Column) -> Column:
     """Words of a text; a slot is ``\\x01``, its type (n, p, u) and its value."""
-    out = F.coalesce(text, F.lit(""))
-    for pattern, put in STEPS:
+    out = F.concat(F.lit(" "), F.coalesce(text, F.lit("")))
+    for pattern, put in _JAVA_STEPS:
         out = F.regexp_replace(out, pattern, put)
-    return F.filter(F.split(F.regexp_replace(F.lower(out), _PUNCTUATION, ""), f"[{_S}]+"), lambda w: w != "")
-
-
-def _template(words: Column) -> Column:
-    return F.transform(words, lambda w: F.when(w.startswith("\x01"), F.substring(w, 1, 2)).otherwise(w))
+    return _split(out)
 
 
-def _windows(words: Column, width: int) -> Column:
-    """(pos, h, slots) of each window: hash of its template, and its slots' values in order."""
+def _split(text: Column) -> Column:
+    """Lower-cased words without punctuation."""
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\x01\s]+", ""), r"\s+"), "")
 
-    def of(w: Column) -> Column:
-        none = F.array().cast("array<string>")
 
-        def windows(t: Column) -> Column:
-            some = F.exists(w, lambda x: x.startswith("\x01"))
+def _template(words: Column) -> Column:
+    """The hash of each template word."""
+    return F.transform(words, lambda w: F.xxhash64(F.when(w.startswith("\x01"), F.substring(w, 1, 2)).otherwise(w)))
 
-            def every(any_slot: Column) -> Column:
-                return F.transform(
-                    F.sequence(F.lit(0), F.size(t) - width),
-                    lambda i: F.struct(
-                        i.alias("pos"),
-                        F.xxhash64(*[F.get(t, i + k) for k in range(width)]).alias("h"),
-                        F.when(any_slot, F.filter(F.slice(w, i + 1, width), lambda x: x.startswith("\x01"))).otherwise(none).alias("slots"),
-                    ),
-                )
 
-            return let(some, every)
+def _windows(rows: DataFrame, width: int) -> DataFrame:
+    """The rows once for each window of their word hashes ``t``: ``pos`` is its place, ``h`` its hash."""
+    # compiled as a whole: functions over elements are interpreted. Not a column is exploded, as Spark would filter it by its size and compute it twice
+    at = F.when(F.size("t") >= width, F.sequence(F.lit(0), F.size("t") - width))
+    return rows.withColumn("pos", F.explode(at)).withColumn("h", F.xxhash64(*[F.get("t", F.col("pos") + k) for k in range(width)])).drop("t")
 
-        return F.when(F.size(w) >= width, let(F.transform(_template(w), lambda x: F.xxhash64(x)), windows))
 
-    return let(words, of)
+def _slots(width: int) -> Column:
+    """The slots' values, in order, of the window at ``pos`` of ``w``."""
+    # compiled with the windows: between compiled stages each window's row would hold the words of its whole text
+    word = [F.get("w", F.col("pos") + k) for k in range(width)]
+    return F.array_remove(F.array(*[F.when(w.startswith("\x01"), w).otherwise("") for w in word]), "")
 
 
 def _literals(slots: Column, width: int) -> Column:
     return width - F.size(slots)
 
 
+def template_matches(words: DataFrame, rows: DataFrame, width: int, small_side: bool) -> DataFrame:
+    """(doc_id, item_id, offset, ipos, slots, islots): windows of ``words`` (doc_id, w) that are in ``rows`` of ``benchmark_windows``."""
+    found = _windows(words.withColumn("t", _template(F.col("w"))), width)
+    if small_side:  # slots of matches alone
+        found = found.join(F.broadcast(rows), "h").withColumn("slots", _slots(width))
+    else:
+        found = found.select("doc_id", "pos", "h", _slots(width).alias("slots")).join(rows, "h")
+    return found.select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("offset"), "ipos", "slots", "islots")
+
+
 def benchmark_windows(benchmark: DataFrame, width: int, min_literals: int, item_col: str = "item_id", text_col: str = "text") -> dict[int, DataFrame]:
     """Informative windows (item_id, ipos, h, islots) by width: ``width``, and the lengths of shorter items."""
     items = stored(benchmark.select(F.col(item_col).alias("item_id"), template_words(F.col(text_col)).alias("w")), "items")
@@ -109,7 +120,7 @@ def benchmark_windows(benchmark: DataFrame, width: int, min_literals: int, item_
     out = {}
     for k in [width, *sorted(lengths)]:
         of = items.filter(F.size("w") >= width) if k == width else items.filter(F.size("w") == k)
-        rows = of.select("item_id", F.explode(_windows(F.col("w"), k)).alias("x")).select("item_id", F.col("x.pos").alias("ipos"), "x.h", F.col("x.slots").alias("islots"))
+        rows = _windows(of.withColumn("t", _template(F.col("w"))), k).select("item_id", F.col("pos").alias("ipos"), "h", _slots(k).alias("islots"))
         out[k] = rows.filter(_literals(F.col("islots"), k) >= min_literals)
     return out
 
@@ -129,9 +140,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_literal
         if (n := rows.count()) == 0 and k != width:
             continue
         total = rows.groupBy("item_id").agg(F.countDistinct("ipos").alias("item_windows"))
-        found = words.select("doc_id", F.explode(_windows(F.col("w"), k)).alias("x")).select("doc_id", F.col("x.pos").alias("pos"), "x.h", "x.slots")
-        found = found.join(F.broadcast(rows) if n <= BROADCAST_WINDOWS else rows, "h")
-        found = found.select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("offset"), "ipos", "slots", "islots")
+        found = template_matches(words, rows, k, n <= BROADCAST_WINDOWS)
         matches = found if matches is None else matches.unionByName(found)
         totals = total if totals is None else totals.unionByName(total)
     matches = stored(matches, "window-matches")
@@ -162,16 +171,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_literal
 
 def plain_words(text: Column) -> Column:
     """Lower-cased words of a text without punctuation, values and names as they stand."""
-    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _PUNCTUATION, ""), f"[{_S}]+"), lambda w: w != "")
-
-
-def _plain_windows(words: Column) -> Column:
-    """(pos, h) of each window of EDITED_WIDTH words."""
+    return _split(F.coalesce(text, F.lit("")))
 
-    def of(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - EDITED_WIDTH), lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get(w, i + k) for k in range(EDITED_WIDTH)]).alias("h")))
 
-    return let(F.transform(words, lambda x: F.xxhash64(x)), lambda w: F.when(F.size(w) >= EDITED_WIDTH, of(w)))
+def _plain(words: Column) -> Column:
+    """The hash of each word."""
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def _plain_alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -179,8 +184,9 @@ def _plain_alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     ``docs`` has (doc_id, text), ``items`` (item_id, w).
     """
-    rows = stored(items.select("item_id", F.size("w").alias("n_words"), F.explode(_plain_windows(F.col("w"))).alias("x")).select("item_id", "n_words", F.col("x.pos").alias("ipos"), "x.h"), "benchmark-plain-windows")
-    found = docs.select("doc_id", F.explode(_plain_windows(plain_words(F.col("text")))).alias("x")).select("doc_id", "x.pos", "x.h")
+    rows = _windows(items.select("item_id", F.size("w").alias("n_words"), _plain(F.col("w")).alias("t")), EDITED_WIDTH)
+    rows = stored(rows.select("item_id", "n_words", F.col("pos").alias("ipos"), "h"), "benchmark-plain-windows")
+    found = _windows(docs.select("doc_id", _plain(plain_words(F.col("text"))).alias("t")), EDITED_WIDTH)
     found = found.join(F.broadcast(rows) if rows.count() <= BROADCAST_WINDOWS else rows, "h").select("doc_id", "item_id", "n_words", (F.col("pos") - F.col("ipos")).alias("offset"), "ipos")
     return found.groupBy("doc_id", "item_id", "n_words", "offset").agg(F.array_sort(F.collect_set("ipos")).alias("at"))
 

@@ -366,6 +366,59 @@ def test_edited_leaks(spark):
     assert decontam.edited_leaks(docs, bench.limit(0)).count() == decontam.edited_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_template_words(spark):
+    """Words and slots are those of STEPS, one step after the other, as the SQL has them."""
+    rng = np.random.default_rng(5)
+    atoms = ["\n", "\t ", "\x0b", "\x85", "Tom", "Ann", "tOm", "NASA", "Ünal", "Ǆ", "Σας", "ΣΑΣ", "a", "B", "Bc", "5", "3.5", "$7", "(8)", "Ⅷ", "km", "min", "kg.", "Km", ".", "?", ":", "'", "…", "\x01", "\x01n", "😀", "𐐀𐐨", "É", "B2b", "2Bc"]
+    texts = [None, "", " ", "5 km", "\n5 km\n", "a Bc De Fg Hi Jk", "a  Bc\n De", "Bar. Baz", "x\x01 Baz", "😀 Baz", "a 5 km 6 m 7"]
+    texts += ["".join(a + rng.choice(["", " ", " "]) for a in rng.choice(atoms, 12)) for _ in range(3000)]
+    plain = F.coalesce(F.col("text"), F.lit(""))
+    for pattern, put in decontam.STEPS:
+        plain = F.regexp_replace(plain, pattern, put)
+    plain = F.filter(F.split(F.regexp_replace(F.lower(plain), decontam._PUNCTUATION, ""), f"[{decontam._S}]+"), lambda w: w != "")
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", plain.alias("want"), decontam.template_words(F.col("text")).alias("got")).collect()
+    assert len(rows) == len(texts) and [r for r in rows if r.want != r.got] == []
+    assert {w[:2] for r in rows for w in r.got if w[0] == "\x01"} >= {"\x01n", "\x01p", "\x01u"}
+
+
+def test_windows_are_compiled(spark, monkeypatch):
+    """Windows are made, hashed and looked up in one compiled stage, of which no row holds the words of its text."""
+    plans, stored = {}, decontam.stored
+
+    def seen(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, label)
+
+    monkeypatch.setattr(decontam, "stored", seen)
+    docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        decontam.leaks(docs, bench, edited=True)
+        plans["edited"] = decontam.edited_leaks(docs, bench)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    for label in ("window-matches", "edited"):
+        lines = [x.lstrip(" :+-") for x in plans[label].splitlines()]
+        join = next(x for x in lines if "BroadcastHashJoin [h#" in x)
+        stage = join.split(" ")[0]
+        assert stage.startswith("*(") and [x for x in lines if "Generate explode(CASE" in x and x.startswith(stage)]
+        assert [x for x in lines if "lambda" in x and x.startswith(stage)] == []
+    assert plans["window-matches"].startswith("*")
+
+
+def test_leaks_of_long_texts(spark, monkeypatch):
+    """A text of many copies of an item: its windows do not each take the whole text along, with either join."""
+    copies = 1500
+    bench = spark.createDataFrame([(1, ITEM), (2, "whole item of exactly eight quite plain words")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"Here: {ITEM} " * copies), (2, "nothing of it " * 20000)], "doc_id long, text string")
+    want = [(r.item_id, r.windows, r.item_windows, r.n_slots) for r in decontam.leaks(docs.limit(0).unionByName(spark.createDataFrame([(1, f"Here: {ITEM} Here: {ITEM}")], docs.schema)), bench).collect()]
+    for limit in (decontam.BROADCAST_WINDOWS, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", limit)
+        assert [(r.doc_id, r.item_id, r.windows, r.item_windows, r.n_slots) for r in decontam.leaks(docs, bench).collect()] == [(1, *x) for x in want] != []
+
+
 # ---- language, quality, mixing --------------------------------------------------------------------------------------
 
 
